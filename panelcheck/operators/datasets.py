@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -269,25 +270,26 @@ def block_candidates(declarations: DataFrame, lines: DataFrame) -> DataFrame:
 
 def _grow(group: pd.DataFrame) -> pd.DataFrame:
     """Repeatedly take the nearest line within reach of the grown box."""
-    rest = group.sort_values("line_number").reset_index(drop=True)
-    ax, ay = rest["a_x"].iloc[0], rest["a_y"].iloc[0]
-    ar, ab = ax + rest["a_w"].iloc[0], ay + rest["a_h"].iloc[0]
-    chosen = []
-    while len(rest):
-        dx = pd.concat([ax - (rest["x"] + rest["w"]), rest["x"] - ar], axis=1).max(axis=1).clip(lower=0.0)
-        dy = pd.concat([ay - (rest["y"] + rest["h"]), rest["y"] - ab], axis=1).max(axis=1).clip(lower=0.0)
-        far = (dx**2 + dy**2) ** 0.5
-        ok = (dx <= V.BLOCK_GAP_PX) & (dy <= V.BLOCK_GAP_PX) & (far <= V.BLOCK_DIAGONAL_PX)
+    order = np.argsort(group["line_number"].to_numpy(), kind="stable")
+    x, y, w, h = (group[c].to_numpy()[order] for c in BOX)
+    right, bottom = x + w, y + h
+    ax, ay, aw, ah = (float(group["a_" + c].iloc[0]) for c in BOX)
+    ar, ab = ax + aw, ay + ah
+    free = np.ones(len(x), dtype=bool)
+    chosen: list[int] = []
+    while free.any():
+        dx = np.maximum(np.maximum(ax - right, x - ar), 0.0)
+        dy = np.maximum(np.maximum(ay - bottom, y - ab), 0.0)
+        far = np.hypot(dx, dy)
+        ok = free & (dx <= V.BLOCK_GAP_PX) & (dy <= V.BLOCK_GAP_PX) & (far <= V.BLOCK_DIAGONAL_PX)
         if not ok.any():
             break
-        at = far[ok].idxmin()
-        line = rest.loc[at]
-        chosen.append(line)
-        ax, ay = min(ax, line["x"]), min(ay, line["y"])
-        ar, ab = max(ar, line["x"] + line["w"]), max(ab, line["y"] + line["h"])
-        rest = rest.drop(index=at)
-    out = pd.DataFrame(chosen, columns=group.columns)
-    out["pick"] = range(1, len(out) + 1)
+        at = int(np.argmin(np.where(ok, far, np.inf)))
+        chosen.append(at)
+        free[at] = False
+        ax, ay = min(ax, x[at]), min(ay, y[at])
+        ar, ab = max(ar, right[at]), max(ab, bottom[at])
+    out = group.iloc[order[chosen]].assign(pick=np.arange(1, len(chosen) + 1, dtype="int32"))
     return out[[f.name for f in _BLOCK.fields]]
 
 

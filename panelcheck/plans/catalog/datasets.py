@@ -37,14 +37,14 @@ view("truth", ("boxes",), "SELECT * FROM boxes WHERE src = 'truth'")
 view("pred", ("boxes",), "SELECT * FROM boxes WHERE src = 'prediction'")
 _INTER = "greatest(0.0e0, least(a.x + a.width, b.x + b.width) - greatest(a.x, b.x)) * greatest(0.0e0, least(a.y + a.height, b.y + b.height) - greatest(a.y, b.y))"
 view("pairs", ("truth", "pred"), f"""SELECT a.task_id, a.label, a.box_id AS truth_id, b.box_id AS prediction_id, {_INTER} AS i,
- a.width * a.height + b.width * b.height AS s, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by, a.width AS aw, a.height AS ah, b.width AS bw, b.height AS bh
+ a.width * a.height + b.width * b.height AS s, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y, a.width AS aw, a.height AS ah, b.width AS bw, b.height AS bh
  FROM truth a JOIN pred b ON a.task_id = b.task_id AND a.label = b.label""")
 
 
 @query(
     "g1_box_functions",
     with_views("pairs")
-    + """SELECT task_id, truth_id, prediction_id, round(i / (s - i), 6) AS iou, round(i / (bw * bh), 6) AS inside, least(ax, bx) AS ux, least(ay, by) AS uy,
+    + """SELECT task_id, truth_id, prediction_id, round(i / (s - i), 6) AS iou, round(i / (bw * bh), 6) AS inside, least(ax, bx) AS ux, least(ay, b_y) AS uy,
  greatest(ax + aw, bx + bw) - least(ax, bx) AS uw, ax - 5 AS px, aw + 10 AS pw, greatest(ax - (bx + 25 + bw), bx + 25 - (ax + aw), 0) AS gap_x FROM pairs""",
 )
 def _(f):

@@ -34,6 +34,8 @@ def local_session(cpus: int | str = 8, name: str = "panelcheck") -> SparkSession
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.ui.enabled", "false")
+        # call sites of every column cost more than the plans themselves
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")

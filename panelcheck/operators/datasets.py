@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from panelcheck import fixed_values as V
 from panelcheck.functions.boxes import Box, box, clipped, gaps, named, padded, union
@@ -236,15 +233,6 @@ def build_training_union(trusted_images, trusted_boxes, pseudo_images, pseudo_bo
 
 # ------------------------------------------------------------------ field blocks
 
-_BLOCK = T.StructType(
-    [
-        T.StructField("declaration_id", T.LongType()), T.StructField("pick", T.IntegerType()), T.StructField("line_number", T.LongType()),
-        T.StructField("text", T.StringType()), T.StructField("confidence", T.DoubleType()),
-        *[T.StructField(c, T.DoubleType()) for c in BOX],
-    ]
-)
-
-
 def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("(?iU)[a-z0-9]+"), 0))
 
@@ -268,41 +256,50 @@ def block_candidates(declarations: DataFrame, lines: DataFrame) -> DataFrame:
     return d.join(lines, "source_image_id").filter(level & (matches | alike))
 
 
-def _grow(group: pd.DataFrame) -> pd.DataFrame:
-    """Repeatedly take the nearest line within reach of the grown box."""
-    order = np.argsort(group["line_number"].to_numpy(), kind="stable")
-    x, y, w, h = (group[c].to_numpy()[order] for c in BOX)
-    right, bottom = x + w, y + h
-    ax, ay, aw, ah = (float(group["a_" + c].iloc[0]) for c in BOX)
-    ar, ab = ax + aw, ay + ah
-    free = np.ones(len(x), dtype=bool)
-    chosen: list[int] = []
-    while free.any():
-        dx = np.maximum(np.maximum(ax - right, x - ar), 0.0)
-        dy = np.maximum(np.maximum(ay - bottom, y - ab), 0.0)
-        far = np.hypot(dx, dy)
-        ok = free & (dx <= V.BLOCK_GAP_PX) & (dy <= V.BLOCK_GAP_PX) & (far <= V.BLOCK_DIAGONAL_PX)
-        if not ok.any():
-            break
-        at = int(np.argmin(np.where(ok, far, np.inf)))
-        chosen.append(at)
-        free[at] = False
-        ax, ay = min(ax, x[at]), min(ay, y[at])
-        ar, ab = max(ar, right[at]), max(ab, bottom[at])
-    out = group.iloc[order[chosen]].assign(pick=np.arange(1, len(chosen) + 1, dtype="int32"))
-    return out[[f.name for f in _BLOCK.fields]]
+_LINE = "struct<line_number:bigint,text:string,confidence:double,x:double,y:double,w:double,h:double>"
 
 
 def connected_lines(declarations: DataFrame, lines: DataFrame) -> DataFrame:
     """The lines of each declaration's block in the order they join it.
 
-    Growing is sequential inside one declaration; Spark spreads the declarations.
+    The block repeatedly takes the nearest line within reach of its grown box.
+    That is sequential inside one declaration, over the few lines of its image
+    that match its label, and runs as a fold in the JVM.
     """
-    wanted = ["declaration_id", "line_number", "text", "confidence", *BOX, *["a_" + c for c in BOX]]
-    rows = block_candidates(declarations, lines).select(
-        F.col("declaration_id").cast("bigint").alias("declaration_id"), F.col("line_number").cast("bigint").alias("line_number"), *wanted[2:]
+    line = F.struct(F.col("line_number").cast("bigint").alias("line_number"), "text", "confidence", *BOX)
+    groups = (
+        block_candidates(declarations, lines)
+        .groupBy("declaration_id", *["a_" + c for c in BOX])
+        .agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    )
+    none = F.array().cast(f"array<{_LINE}>")
+    start = F.struct(
+        F.col("a_x").alias("x"), F.col("a_y").alias("y"), (F.col("a_x") + F.col("a_w")).alias("r"), (F.col("a_y") + F.col("a_h")).alias("b"),
+        F.col("lines").cast(f"array<{_LINE}>").alias("rest"), none.alias("picked"),
+    )
+
+    def grow(s: Column, _: Column) -> Column:
+        def reach(e: Column) -> Column:
+            dx = F.greatest(s["x"] - (e["x"] + e["w"]), e["x"] - s["r"], F.lit(0.0))
+            dy = F.greatest(s["y"] - (e["y"] + e["h"]), e["y"] - s["b"], F.lit(0.0))
+            far = F.hypot(dx, dy)
+            ok = (dx <= V.BLOCK_GAP_PX) & (dy <= V.BLOCK_GAP_PX) & (far <= V.BLOCK_DIAGONAL_PX)
+            return F.when(ok, F.struct(far.alias("far"), e["line_number"].alias("n")))
+
+        at = F.array_min(F.filter(F.transform(s["rest"], reach), lambda e: e.isNotNull()))["n"]
+        taken = F.filter(s["rest"], lambda e: e["line_number"] == at)
+        t = F.get(taken, 0)
+        grown = F.struct(
+            F.least(s["x"], t["x"]).alias("x"), F.least(s["y"], t["y"]).alias("y"), F.greatest(s["r"], t["x"] + t["w"]).alias("r"),
+            F.greatest(s["b"], t["y"] + t["h"]).alias("b"), F.filter(s["rest"], lambda e: e["line_number"] != at).alias("rest"),
+            F.concat(s["picked"], taken).alias("picked"),
+        )
+        return F.when(at.isNull(), s).otherwise(grown)
+
+    picked = F.aggregate(F.sequence(F.lit(1), F.size("lines")), start, grow)["picked"]
+    return groups.select("declaration_id", F.posexplode(picked).alias("pos", "l")).select(
+        "declaration_id", (F.col("pos") + 1).alias("pick"), "l.*"
     )
-    return rows.groupBy("declaration_id").applyInPandas(_grow, _BLOCK)
 
 
 def declaration_evidence(declarations: DataFrame, block: DataFrame) -> DataFrame:

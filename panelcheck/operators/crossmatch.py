@@ -77,14 +77,16 @@ def compared_groups(fields: DataFrame, compare: str = "text") -> DataFrame:
     )
 
 
-def suspects(fields: DataFrame, images: DataFrame, compare: str = "text") -> DataFrame:
+def suspects(fields: DataFrame, images: DataFrame, compare: str = "text", groups: DataFrame | None = None) -> DataFrame:
     """Occurrences of the groups whose values differ, with the role of their panel.
 
     A small share of all declarations.  Several comparisons read it, so callers
     with large tables write it once (``sources.files.written_parquet``) before
     they go on.
     """
-    groups = compared_groups(fields, compare).filter(F.coalesce("may_conflict", F.lit(False))).select(*GROUP)
+    if groups is None:
+        groups = compared_groups(fields, compare)
+    groups = groups.filter(F.coalesce("may_conflict", F.lit(False))).select(*GROUP)
     roles = images.select(F.col("id").alias("source_image_id"), "image_role")
     return (
         _comparable(fields, compare)

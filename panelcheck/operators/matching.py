@@ -91,13 +91,14 @@ def _rounds(edges: DataFrame) -> DataFrame:
 
 def serial_choice(edges: DataFrame, limit: int = FOLD_LIMIT) -> DataFrame:
     """``edges``: task_id, label, chooser, target, iou, rank (lower is better, unique per chooser)."""
+    # read by the size check and by the choice itself
+    edges = written_parquet(edges.sparkSession, edges, "edges")
     sizes = edges.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_n"))
     large = sizes.filter(F.col("_n") > limit).select(*GROUP)
     if large.isEmpty():
         return _fold(edges)
-    big = written_parquet(edges.sparkSession, edges.join(large, GROUP, "left_semi"), "edges")
     small = _fold(edges.join(large, GROUP, "left_anti"))
-    return small.unionByName(_rounds(big).select(*small.columns))
+    return small.unionByName(_rounds(edges.join(large, GROUP, "left_semi")).select(*small.columns))
 
 
 def match_regions(truth: DataFrame, predictions: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -268,6 +268,19 @@ def overall_verdict(inspections: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
+def with_overall(results: DataFrame) -> DataFrame:
+    """Results with the overall verdict of their inspection.
+
+    Results arrive partitioned by inspection, so this costs no exchange; what is
+    gathered per inspection is one row per rule of its pack.
+    """
+    columns = [c for c in results.columns if c != "inspection_id"]
+    any_ = lambda v: F.bool_or(F.col("verdict") == v)
+    verdict = F.when(any_("fail"), "fail").when(any_("needs_review"), "needs_review").otherwise("pass")
+    whole = results.groupBy("inspection_id").agg(F.collect_list(F.struct(*columns)).alias("rows"), verdict.alias("overall"))
+    return whole.select("inspection_id", "overall", F.inline("rows"))
+
+
 def rule_violations(results: DataFrame) -> DataFrame:
     return results.filter(F.col("verdict").isin("fail", "needs_review")).select(
         "inspection_id", "extracted_field_id", "rule_id", "rule_pack_version", "description", "citation", "severity"

@@ -73,8 +73,8 @@ view("report", ("inspections", "images", "grp", "found"), """SELECT i.id AS insp
  ON c.inspection_id = i.id""")
 
 
-def suspects(f):
-    return written_parquet(f.spark, M.suspects(f.extracted_fields(), f.images()), "suspects")
+def suspects(f, groups=None):
+    return written_parquet(f.spark, M.suspects(f.extracted_fields(), f.images(), groups=groups), "suspects")
 
 
 def found(f):
@@ -82,7 +82,8 @@ def found(f):
 
 
 def report(f):
-    return M.cross_match(f.inspections(), f.images(), M.compared_groups(f.extracted_fields()), suspects(f))
+    groups = written_parquet(f.spark, M.compared_groups(f.extracted_fields()), "groups")
+    return M.cross_match(f.inspections(), f.images(), groups, suspects(f, groups))
 
 
 @query("m1_cross_match", with_views("report") + "SELECT * FROM report")

@@ -147,8 +147,7 @@ def _(f):
     + f"SELECT {', '.join('j.' + c.strip() for c in _SQL_COLS.split(','))}, o.overall FROM judged j JOIN overall o ON o.inspection_id = j.inspection_id",
 )
 def _(f):
-    rows = results(f)
-    return rows.select(*_COLS.split(", ")).join(R.overall_verdict(f.inspections(), rows), "inspection_id")
+    return R.with_overall(results(f).select(*_COLS.split(", ")))
 
 
 @query(

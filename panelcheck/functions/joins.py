@@ -32,6 +32,11 @@ def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "lef
     return salted.join(spread, [*on, "_salt"], how).drop("_salt")
 
 
+def literal_rows(spark, values: list, name: str) -> DataFrame:
+    """A short list as rows of literals.  Unlike a table made from Python objects, the optimizer knows its size."""
+    return spark.range(1).select(F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
+
+
 def _hashable(df: DataFrame, column: str) -> bool:
     return "map" not in df.schema[column].dataType.simpleString()
 

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from panelcheck import fixed_values as V
 from panelcheck.functions.boxes import box, inside_ratio, iou
-from panelcheck.functions.joins import cells
+from panelcheck.functions.joins import cells, literal_rows
 from panelcheck.sources.files import written_parquet
 
 GROUP = ["task_id", "label"]
@@ -128,7 +128,7 @@ def detection_metrics(rows: DataFrame, labels: list[str] | None = None) -> DataF
     counted = rows.rollup("label").agg(
         F.grouping("label").alias("g"), n("tp").alias("tp"), n("fp").alias("fp"), n("fn").alias("fn")
     ).select(F.when(F.col("g") == 1, "(all)").otherwise(F.col("label")).alias("label"), "tp", "fp", "fn")
-    listed = rows.sparkSession.createDataFrame([(x,) for x in sorted(labels or V.BOX_LABELS)] + [("(all)",)], "label string")
+    listed = literal_rows(rows.sparkSession, [*sorted(labels or V.BOX_LABELS), "(all)"], "label")
     tp, fp, fn = (F.coalesce(c, F.lit(0).cast("bigint")) for c in ("tp", "fp", "fn"))
     full = listed.join(counted, "label", "left").select("label", tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
     div = lambda a, b: F.when(b > 0, a / b)
@@ -262,7 +262,7 @@ def calibrate_candidates(candidates: DataFrame, truth: DataFrame, labels: list[s
     tp = serial_choice(edges).groupBy("label").agg(F.count(F.lit(1)).alias("tp"))
     made = candidates.groupBy("label").agg(F.count(F.lit(1)).alias("made"))
     known = kept.groupBy("label").agg(F.count(F.lit(1)).alias("known"))
-    listed = truth.sparkSession.createDataFrame([(x,) for x in sorted(labels)], "label string")
+    listed = literal_rows(truth.sparkSession, sorted(labels), "label")
     zero = F.lit(0).cast("bigint")
     rows = listed.join(tp, "label", "left").join(made, "label", "left").join(known, "label", "left").select(
         "label", *[F.coalesce(c, zero).alias(c) for c in ("tp", "made", "known")]

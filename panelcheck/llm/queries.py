@@ -4,14 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelcheck.llm import language, pii, quality, secrets, tokens
+from panelcheck.llm import jaccard, language, pii, quality, secrets, tokens
 from panelcheck.llm.common import table
 
+# A-Z only, like the operators.
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 QUERIES = {
     "op2_secret_scan": lambda spark, d: secrets.digest_rows(secrets.find_secrets(table(spark, d, "documents"))),
     "op3_language_id": lambda spark, d: language.identify(table(spark, d, "documents")),
     "op5_token_counts": lambda spark, d: tokens.count_tokens(table(spark, d, "documents")),
     "op6_pii": lambda spark, d: pii.find_pii(table(spark, d, "documents")),
     "op7_line_cleaning": lambda spark, d: quality.clean_lines(table(spark, d, "documents"), with_text=False),
+    "op9_ngram_jaccard": lambda spark, d: jaccard.jaccard_components(table(spark, d, "documents")),
+}
+ORACLES: dict[str, str] = {
+    "op9_ngram_jaccard": f"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all({LOWER}, '[^ \\x09-\\x0D]+') AS w FROM documents
+), s AS (
+    SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE [array_to_string(w[i:i+3], ' ') FOR i IN range(1, len(w) - 2)] END) AS s FROM w
+), t AS (SELECT doc_id, unnest(s) AS t FROM s), n AS (SELECT doc_id, CAST(coalesce(len(s), 0) AS BIGINT) AS n FROM s),
+-- equal sets are one node, so that large groups of copies stay cheap
+g AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(s)) AS node FROM s WHERE len(s) > 0),
+r AS (SELECT t.* FROM t JOIN g USING (doc_id) WHERE g.node = t.doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM r a JOIN r b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+c AS (SELECT DISTINCT node AS node, node AS top FROM g UNION SELECT e.b, c.top FROM c JOIN e ON e.a = c.node),
+m AS (SELECT node, min(top) AS top FROM c GROUP BY node)
+SELECT n.doc_id, n.n AS n_shingles, coalesce(m.top, n.doc_id) AS component_id
+FROM n LEFT JOIN g ON g.doc_id = n.doc_id LEFT JOIN m ON m.node = g.node
+""",
 }
-ORACLES: dict[str, str] = {}

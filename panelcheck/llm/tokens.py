@@ -8,7 +8,7 @@ node is scored once; the node of a whole pre-token keeps its count.
 A piece's score falls with the logarithm of its place in the vocabulary (fixed rule; nothing is trained).
 Characters that no piece covers cost one token for each UTF-8 byte.
 The vocabulary is read on the driver and travels with the tasks: its size is that of the file.
-Every worker process keeps its trie between tasks and starts a new one at a fixed number of nodes; results are the same.
+Every worker process keeps its trie and its counts between tasks and starts anew at a fixed size; results are the same.
 
 Defined results: a null or blank text has no tokens; repeated rows are rows of their own; an empty table gives an
 empty result; extra columns are ignored.
@@ -26,7 +26,7 @@ from panelcheck.llm.common import per_text
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MAX_NODES, MAX_TERMINALS = 600_000, 400_000
+MAX_NODES, MAX_TERMINALS = 300_000, 800_000
 BYTE_SCORE = -20_000
 STEP = 1 << 40  # more than the pieces of any word
 
@@ -51,25 +51,27 @@ class Trie:
                 self.endings.setdefault(piece[start:], None)
             self.endings[piece] = score * STEP - 1
         self.longest = max(map(len, scores), default=1)
+        self.terminal: dict[str, int] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.child: dict[tuple[int, str], int] = {}
+        self.child: dict[int, int] = {}  # of a node's number and a letter
         self.best: list[int] = [0]
-        self.terminal: dict[str, int] = {}
 
     def count(self, word: str) -> int:
         """Pieces in the best split of a pre-token."""
         if (n := self.terminal.get(word)) is not None:
             return n
-        if len(self.best) > MAX_NODES or len(self.terminal) > MAX_TERMINALS:
+        if len(self.best) > MAX_NODES:
             self.clear()
+        if len(self.terminal) > MAX_TERMINALS:
+            self.terminal.clear()
         marked = MARK + word
         if len(marked) > MAX_NODES:  # longer than a whole trie: the same recurrence without storing nodes
             return self._alone(marked)
         node, path, child, best = 0, [0], self.child, self.best
         for end, letter in enumerate(marked, 1):
-            key = (node, letter)
+            key = node << 21 | ord(letter)
             nxt = child.get(key)
             if nxt is None:
                 nxt = child[key] = len(best)
@@ -114,8 +116,11 @@ def worker_trie(scores: dict[str, int], key: int) -> Trie:
 
 
 def count_text(text: str | None, trie: Trie) -> tuple[int, int]:
-    words = Counter((text or "").split())
-    return words.total(), sum(n * trie.count(w) for w, n in words.items())
+    words, known, total = Counter((text or "").split()), trie.terminal, 0
+    for word, n in words.items():
+        pieces = known.get(word)
+        total += n * (trie.count(word) if pieces is None else pieces)
+    return words.total(), total
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL) -> DataFrame:

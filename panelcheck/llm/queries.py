@@ -4,21 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelcheck.llm import jaccard, language, pii, quality, secrets, tokens
+from panelcheck.llm import decontaminate, jaccard, language, pii, quality, secrets, tokens
 from panelcheck.llm.common import table
 
 # A-Z only, like the operators.
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
 QUERIES = {
     "op2_secret_scan": lambda spark, d: secrets.digest_rows(secrets.find_secrets(table(spark, d, "documents"))),
     "op3_language_id": lambda spark, d: language.identify(table(spark, d, "documents")),
+    "op4_decontaminate": lambda spark, d: decontaminate.decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark"), slop=None).drop("spans"),
     "op5_token_counts": lambda spark, d: tokens.count_tokens(table(spark, d, "documents")),
     "op6_pii": lambda spark, d: pii.find_pii(table(spark, d, "documents")),
     "op7_line_cleaning": lambda spark, d: quality.clean_lines(table(spark, d, "documents"), with_text=False),
     "op9_ngram_jaccard": lambda spark, d: jaccard.jaccard_components(table(spark, d, "documents")),
 }
 ORACLES: dict[str, str] = {
+    "op4_decontaminate": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '{ITEM_WORD}') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({LOWER}, '{ITEM_WORD}') AS w FROM benchmark),
+i AS (SELECT item_id, len(w) AS n, w FROM b WHERE len(w) > 0),
+x AS (
+    SELECT item_id, 10 AS n, array_to_string(w[k:k+9], ' ') AS t FROM (SELECT item_id, w, unnest(range(1, n - 8)) AS k FROM i WHERE n >= 10)
+    UNION SELECT item_id, n, array_to_string(w, ' ') FROM i WHERE n < 10
+),
+q AS (SELECT DISTINCT n FROM x),
+p AS (SELECT doc_id, n, k, array_to_string(w[k:k+n-1], ' ') AS t FROM (SELECT doc_id, w, n, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS k FROM d, q WHERE len(w) >= n)),
+m AS (SELECT p.doc_id, x.item_id, p.k, p.n FROM p JOIN x USING (n, t)),
+h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS pos FROM m) GROUP BY 1),
+s AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY 1)
+SELECT doc_id, CAST(coalesce(len(d.w), 0) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+    sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN s USING (doc_id)
+""",
     "op9_ngram_jaccard": f"""
 WITH RECURSIVE w AS (
     SELECT doc_id, regexp_extract_all({LOWER}, '[^ \\x09-\\x0D]+') AS w FROM documents

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelcheck.llm import decontaminate, jaccard, language, pii, quality, secrets, tokens
+from panelcheck.llm import decontaminate, html, jaccard, language, pii, quality, secrets, tokens
 from panelcheck.llm.common import table
 
 # A-Z only, like the operators.
@@ -13,6 +13,7 @@ LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwx
 ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 QUERIES = {
+    "op1_main_text": lambda spark, d: html.extract_main_text(table(spark, d, "pages")),
     "op2_secret_scan": lambda spark, d: secrets.digest_rows(secrets.find_secrets(table(spark, d, "documents"))),
     "op3_language_id": lambda spark, d: language.identify(table(spark, d, "documents")),
     "op4_decontaminate": lambda spark, d: decontaminate.decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark"), slop=None).drop("spans"),

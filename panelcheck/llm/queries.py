@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelcheck.llm import decontaminate, html, jaccard, language, pii, quality, secrets, tokens
+from panelcheck.llm import decontaminate, html, jaccard, language, mixing, pii, quality, secrets, tokens
 from panelcheck.llm.common import table
 
 # A-Z only, like the operators.
@@ -20,6 +20,7 @@ QUERIES = {
     "op5_token_counts": lambda spark, d: tokens.count_tokens(table(spark, d, "documents")),
     "op6_pii": lambda spark, d: pii.find_pii(table(spark, d, "documents")),
     "op7_line_cleaning": lambda spark, d: quality.clean_lines(table(spark, d, "documents"), with_text=False),
+    "op8_temperature_mix": lambda spark, d: mixing.mix(table(spark, d, "documents")),
     "op9_ngram_jaccard": lambda spark, d: jaccard.jaccard_components(table(spark, d, "documents")),
 }
 ORACLES: dict[str, str] = {
@@ -39,6 +40,34 @@ s AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_
 SELECT doc_id, CAST(coalesce(len(d.w), 0) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
     sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN s USING (doc_id)
+""",
+    "op8_temperature_mix": """
+WITH RECURSIVE d AS (
+    SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ \\x09-\\x0D]+')), 0) AS BIGINT) AS n,
+        CAST('0x' || substr(md5('mix-1:' || doc_id), 1, 15) AS BIGINT) AS h FROM documents
+), t AS (SELECT source, sum(n) AS n FROM d GROUP BY 1 HAVING sum(n) > 0),
+p AS (SELECT source, n, CAST(n AS DOUBLE) / sum(n) OVER () AS p, sum(n) OVER () AS total FROM t),
+v AS (SELECT list(p ORDER BY source) AS p, -sum(p * ln(p)) AS h, -sum(p * ln(p)) + 0.5e0 * (ln(count(*)) + sum(p * ln(p))) AS wanted FROM p),
+-- the power at which the weights have the wanted entropy, then the one at which no source repeats more than four times
+a AS (
+    SELECT 0 AS k, 0.0e0 AS lo, 1.0e0 AS hi UNION ALL
+    SELECT k + 1, CASE WHEN e >= wanted THEN (lo + hi) / 2 ELSE lo END, CASE WHEN e >= wanted THEN hi ELSE (lo + hi) / 2 END
+    FROM (SELECT k, lo, hi, wanted, (SELECT ln(sum(x ** ((lo + hi) / 2))) - sum((x ** ((lo + hi) / 2)) * ln(x ** ((lo + hi) / 2))) / sum(x ** ((lo + hi) / 2)) FROM (SELECT unnest(v.p) AS x)) AS e FROM a, v WHERE k < 50)
+), a1 AS (SELECT lo AS alpha FROM a WHERE k = 50),
+b AS (
+    SELECT 0 AS k, (SELECT alpha FROM a1) AS lo, 1.0e0 AS hi UNION ALL
+    SELECT k + 1, CASE WHEN m > 4 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN m > 4 THEN hi ELSE (lo + hi) / 2 END
+    FROM (SELECT k, lo, hi, (SELECT max((x ** ((lo + hi) / 2)) / x) / sum(x ** ((lo + hi) / 2)) FROM (SELECT unnest(v.p) AS x)) AS m FROM b, v WHERE k < 50)
+), often AS (SELECT max((p ** alpha) / p) / sum(p ** alpha) AS m FROM p, a1),
+c AS (SELECT round(CASE WHEN m > 4 THEN (SELECT lo FROM b WHERE k = 50) ELSE alpha END, 6) AS alpha FROM a1, often),
+g AS (SELECT source, n, CAST(floor((p ** alpha) / (SELECT sum(p ** alpha) FROM p, c) * total) AS BIGINT) AS target FROM p, c),
+q AS (SELECT source, n AS source_tokens, target, target // n AS passes, target % n AS rest, CAST('0x' || substr(md5('mix-1:pass:' || (target // n)), 1, 15) AS BIGINT) AS mask FROM g),
+o AS (SELECT d.*, q.* EXCLUDE (source), sum(d.n) OVER (PARTITION BY d.source ORDER BY xor(h, mask), doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN q USING (source)),
+e AS (SELECT *, unnest(range(CAST(passes + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS BIGINT))) AS epoch FROM o),
+f AS (SELECT *, xor(h, CAST('0x' || substr(md5('mix-1:pass:' || epoch), 1, 15) AS BIGINT)) AS order_key FROM e)
+SELECT doc_id, source, n AS n_tokens, CAST(epoch AS BIGINT) AS epoch,
+    CAST(least(floor((epoch + order_key / 1152921504606846976.0e0) * source_tokens / target * 64), 63) AS BIGINT) AS block, order_key, target AS source_target
+FROM f
 """,
     "op9_ngram_jaccard": f"""
 WITH RECURSIVE w AS (

@@ -142,7 +142,12 @@ def decontaminate(
     ``spans`` are the exact matches as (item_id, first word, words), ``n_near_items`` counts the items with a proximity match;
     a ``slop`` of None leaves that column out.
     """
-    source = keyed(docs, id_col, text_col)
+    result = compared(keyed(docs, id_col, text_col), items, item_id, item_text, window, rarest, slop)
+    return result.withColumnRenamed("id", id_col).drop("key")
+
+
+def compared(source: DataFrame, items: DataFrame, item_id: str, item_text: str, window: int, rarest: int, slop: int | None) -> DataFrame:
+    """The same for documents that have keys."""
     items = written(item_words(items, item_id, item_text, window), "benchmark-items")
     anchor = written(anchors(items, written(term_counts(source, items), "term-counts"), rarest), "anchors")
     met = written(diagonals(build_index(source, anchor.select("term").distinct()), anchor), "diagonals")
@@ -168,7 +173,8 @@ def decontaminate(
         counted = counted.join(close, F.col("key") == F.col("_key"), "left")
         near = [F.coalesce("n_near_items", F.lit(0)).cast("bigint").alias("n_near_items")]
     return counted.select(
-        F.col("id").alias(id_col),
+        "key",
+        "id",
         F.col("n_words").cast("bigint").alias("n_words"),
         F.greatest("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
         F.size("ids").cast("bigint").alias("n_items"),
@@ -177,3 +183,10 @@ def decontaminate(
         "spans",
         *near,
     )
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows and columns of the documents that hold no window of an item."""
+    found = compared(keyed(docs, id_col, text_col), items, item_id, item_text, WINDOW, RAREST, None).filter("contaminated").select(F.col("key").alias("_key"))
+    marked = docs.withColumn("_doc_key", F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")))
+    return marked.join(found, F.col("_doc_key") == F.col("_key"), "left_anti").drop("_doc_key")

@@ -303,8 +303,8 @@ def leaf_pairs(packed: DataFrame) -> DataFrame:
     def bounding_box(t: pa.Table) -> pa.Table:
         n = t.column("n").to_numpy()
         top = np.max([np.frombuffer(x, np.uint16) for x in t.column("counts").to_pylist()], axis=0)
-        row = {"block": t.column("block")[:1], "leaf": t.column("leaf")[:1], "least": [int(n.min())], "most": [int(n.max())], "top": [top.tolist()]}
-        return pa.table(row)
+        row = {"block": t.column("block")[:1], "leaf": t.column("leaf")[:1], "least": [int(n.min())], "most": [int(n.max())]}
+        return pa.table(row | {"top": pa.array([top.tolist()], pa.list_(pa.int32()))})
 
     only = packed.groupBy("block").agg(F.max("leaf").alias("last"))
     lone = only.filter("last = 0").select("block", F.lit(0).cast("bigint").alias("leaf"), F.xxhash64("block").alias("pair"), F.lit(1).alias("side"))
@@ -360,3 +360,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_node = named.select("node", "root").join(smallest, "root").select(F.col("node").alias("_node"), "component_id")
     return sets.join(of_node, F.col("node") == F.col("_node"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows and columns of the document with the smallest id of each component; of equal rows (id and text) one stays.
+
+    Rows without an id stay.
+    """
+    linked = jaccard_components(docs, id_col, text_col)
+    gone = linked.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti").withColumn("_text_hash", F.xxhash64(text_col))
+    again = F.row_number().over(W.partitionBy(id_col, "_text_hash").orderBy(F.lit(1)))
+    return kept.withColumn("_again", again).filter(F.col("_again") == 1).drop("_again", "_text_hash")

@@ -26,6 +26,7 @@ DIM = 1024
 SEED = 20240501
 SHARE = 16  # a trigram counts up to so often in a document
 UNKNOWN = "und"
+LEAST_SCORE = 0.1  # three standard deviations of the cosine of random vectors
 BLOCK_CHARS, BLOCK_DOCS = 400_000, 256
 
 _LETTER: np.ndarray | None = None
@@ -126,7 +127,7 @@ def prototypes(docs: DataFrame, text_col: str, lang_col: str, dim: int = DIM, se
 
 
 def classify(texts: list[str | None], names: list[str], protos: np.ndarray, space: Space) -> tuple[list[str], list[float]]:
-    """Language and score of each text; ``protos`` are centred unit vectors."""
+    """Language and score of each text; ``protos`` are unit vectors."""
     langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
     for at, some in blocks(texts):
         keys, counts = counted(some, SHARE)
@@ -145,9 +146,7 @@ def classify(texts: list[str | None], names: list[str], protos: np.ndarray, spac
 
 def predict(docs: DataFrame, keep: list[str], text_col: str, protos: dict[str, list[int]], dim: int = DIM, seed: int = SEED) -> DataFrame:
     """The kept columns with lang_pred and score."""
-    names = sorted(protos)
-    matrix = np.array([protos[n] for n in names], np.float64).reshape(-1, dim)
-    matrix = (matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    names, matrix = unit_rows(protos, dim)
     source = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
 
@@ -162,6 +161,26 @@ def predict(docs: DataFrame, keep: list[str], text_col: str, protos: dict[str, l
     return source.mapInArrow(run, f"{head}, lang_pred string, score double")
 
 
+def unit_rows(protos: dict[str, list[int]], dim: int) -> tuple[list[str], np.ndarray]:
+    """Languages in string order and their prototypes as unit vectors."""
+    names = sorted(protos)
+    matrix = np.array([protos[n] for n in names], np.float64).reshape(-1, dim)
+    return names, (matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+
+def in_a_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST_SCORE) -> DataFrame:
+    """The rows and columns of the documents that are in one of the learned languages."""
+    names, matrix = unit_rows(prototypes(docs.filter(~held_out(id_col)), text_col, lang_col), DIM)
+
+    def accepted(texts):
+        import pandas as pd
+
+        langs, scores = classify([None if t is None else str(t) for t in texts], names, matrix, Space(DIM, SEED))
+        return pd.Series([a != UNKNOWN and s >= least for a, s in zip(langs, scores, strict=True)], dtype=bool)
+
+    return docs.filter(F.pandas_udf(accepted, "boolean")(F.col(text_col)))
+
+
 def held_out(id_col: str = "doc_id"):
     """Documents that training must not see."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelcheck.llm import decontaminate, html, jaccard, language, mixing, pii, quality, secrets, tokens
+from panelcheck.llm import decontaminate, html, jaccard, language, licenses, mixing, pii, quality, secrets, tokens
 from panelcheck.llm.common import table
 
 # A-Z only, like the operators.
@@ -22,6 +22,7 @@ QUERIES = {
     "op7_line_cleaning": lambda spark, d: quality.clean_lines(table(spark, d, "documents"), with_text=False),
     "op8_temperature_mix": lambda spark, d: mixing.mix(table(spark, d, "documents")),
     "op9_ngram_jaccard": lambda spark, d: jaccard.jaccard_components(table(spark, d, "documents")),
+    "op10_license_scan": lambda spark, d: licenses.scan_licenses(table(spark, d, "documents")),
 }
 ORACLES: dict[str, str] = {
     "op4_decontaminate": f"""

@@ -27,6 +27,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return written_parquet(df.sparkSession, df, name)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have yet."""
+    while name.lower() in map(str.lower, df.columns):
+        name += "_"
+    return name
+
+
 def per_text(
     df: DataFrame, keep: list[str], text: str, fn: Callable[[str | None], tuple], schema: str, make: Callable[[], object] | None = None
 ) -> DataFrame:

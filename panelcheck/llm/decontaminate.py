@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelcheck.llm.common import written
+from panelcheck.llm.common import fresh, written
 
 WINDOW = 10
 RAREST = 2  # terms of a window that must meet on a diagonal
@@ -89,7 +89,7 @@ def anchors(items: DataFrame, counts: DataFrame, rarest: int) -> DataFrame:
 
 def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, key, at): the positions of the terms in every document, as a table in the shared folder."""
-    postings = tokens(docs).join(small(terms), "term").groupBy("key", "term").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+    postings = tokens(docs).join(small(terms), "term").groupBy("key", "term").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     return written(postings, "postings")
 
 
@@ -187,6 +187,7 @@ def compared(source: DataFrame, items: DataFrame, item_id: str, item_text: str,
 
 def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows and columns of the documents that hold no window of an item."""
-    found = compared(keyed(docs, id_col, text_col), items, item_id, item_text, WINDOW, RAREST, None).filter("contaminated").select(F.col("key").alias("_key"))
-    marked = docs.withColumn("_doc_key", F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")))
-    return marked.join(found, F.col("_doc_key") == F.col("_key"), "left_anti").drop("_doc_key")
+    key, bad = fresh(docs, "document_key"), fresh(docs, "bad_key")
+    found = compared(keyed(docs, id_col, text_col), items, item_id, item_text, WINDOW, RAREST, None).filter("contaminated").select(F.col("key").alias(bad))
+    marked = docs.withColumn(key, F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")))
+    return marked.join(found, F.col(key) == F.col(bad), "left_anti").drop(key)

@@ -94,10 +94,17 @@ def template_rows(spark: SparkSession) -> DataFrame:
 
 
 def variants(templates: DataFrame) -> DataFrame:
-    """Templates, and templates without every k-th word; the last of these are for calibration."""
-    drops = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(r).alias("r")) for k in (99, 5, 4, 3) for r in range(min(k, 5))])).alias("d")
-    left = templates.select("family", "w", drops).withColumn("w", F.filter("w", lambda x, i: (F.col("d.k") == 99) | (i % F.col("d.k") != F.col("d.r"))))
-    return left.filter(F.size("w") > 1).select("family", "w", ((F.col("d.k") != 99) & (F.col("d.r") % 3 == 2)).alias("held"))
+    """Templates, their first and last parts, and templates without every k-th word; some of the latter are for calibration."""
+    kinds = [("whole", 0, 0), ("first", 0, 0), ("last", 0, 0)] + [("without", k, r) for k in (5, 4, 3) for r in range(k)]
+    kind = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(k).alias("k"), F.lit(r).alias("r")) for a, k, r in kinds])).alias("v")
+    n = F.size("w")
+
+    def stays(_: Column, i: Column) -> Column:
+        part = F.when(F.col("v.a") == "first", 5 * i < 3 * n).when(F.col("v.a") == "last", 5 * i >= 2 * n)
+        return part.when(F.col("v.a") == "without", i % F.col("v.k") != F.col("v.r")).otherwise(True)
+
+    left = templates.select("family", "w", kind).withColumn("w", F.filter("w", stays))
+    return left.filter(F.size("w") > 1).select("family", "w", ((F.col("v.a") == "without") & (F.col("v.r") % 3 == 2)).alias("held"))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:

@@ -94,7 +94,8 @@ def ownership(scanned: DataFrame) -> DataFrame:
 def find_secrets(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS
 ) -> DataFrame:
-    """One row per row of ``docs``: the id, n_assign, n_access, n_hex, base_sha256, all (spans with their ownership), n_live, n_example."""
+    """One row per row of ``docs``: the id, n_assign, n_access, n_hex, base_sha256, all (spans with their ownership), and how many
+    values look live or like copied examples (n_live, n_example; the latter with tokens that are no span)."""
     scanned = written(scan(docs, id_col, text_col, repo_col, owner_col), "secret-scan")
     each = scanned.select("row", F.explode("found").alias("s"))
     known = each.join(ownership(scanned), F.col("s.hash") == F.col("hash"))
@@ -103,10 +104,12 @@ def find_secrets(
     per_row = known.groupBy("row").agg(F.collect_list(span).alias("spans"))
     stays = lambda s: (s["ord"] < 3) | s["live"]
     merged = scanned.join(per_row.withColumnRenamed("row", "_row"), F.col("row") == F.col("_row"), "left")
-    spans = F.array_sort(F.filter(F.coalesce("spans", F.array()), stays))
-    return merged.select(F.col("id").alias(id_col), "n_assign", "n_access", "n_hex", "base_sha256", spans.alias("all")).select(
-        "*", F.size(F.filter("all", lambda s: s["live"])).cast("bigint").alias("n_live"), F.size(F.filter("all", lambda s: ~s["live"])).cast("bigint").alias("n_example")
-    )
+    every = F.array_sort(F.coalesce("spans", F.array()))
+    counted = lambda live: F.size(F.filter("every", lambda s: s["live"] == live)).cast("bigint")
+    return merged.select(F.col("id").alias(id_col), "n_assign", "n_access", "n_hex", "base_sha256", every.alias("every")).select(
+        id_col, "n_assign", "n_access", "n_hex", "base_sha256",
+        F.filter("every", stays).alias("all"), counted(True).alias("n_live"), counted(False).alias("n_example"),
+    )
 
 
 def digest_rows(found: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelcheck.llm.common import written
+from panelcheck.llm.common import fresh, written
 
 WORDS = 4  # of a shingle
 NUM, DEN = 85, 100  # the least Jaccard similarity
@@ -367,8 +367,8 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Rows without an id stay.
     """
-    linked = jaccard_components(docs, id_col, text_col)
-    gone = linked.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti").withColumn("_text_hash", F.xxhash64(text_col))
-    again = F.row_number().over(W.partitionBy(id_col, "_text_hash").orderBy(F.lit(1)))
-    return kept.withColumn("_again", again).filter(F.col("_again") == 1).drop("_again", "_text_hash")
+    gone_id, text_hash, copy = fresh(docs, "gone_id"), fresh(docs, "text_hash"), fresh(docs, "copy_number")
+    gone = jaccard_components(docs, id_col, text_col).filter("component_id <> doc_id").select(F.col("doc_id").alias(gone_id)).distinct()
+    kept = docs.join(gone, F.col(id_col) == F.col(gone_id), "left_anti").withColumn(text_hash, F.xxhash64(text_col))
+    number = F.row_number().over(W.partitionBy(id_col, text_hash).orderBy(F.lit(1)))
+    return kept.withColumn(copy, number).filter(F.col(copy) == 1).drop(copy, text_hash)

@@ -144,9 +144,8 @@ def test_lines_of_markup():
     <nav><a href="/">Home</a></nav><div class="cookie-notice">We use</div><aside>side</aside><article><header><h1>Head&nbsp;line</h1></header>
     <p>One &lt;two&gt;<b>bold</b><br>three\n four</p><aside>inner</aside><section id="comments"><p>me too</p></section></article>
     <article class="comment">no</article><form>f</form><footer>&copy;</footer></body></html>"""
-    texts, places, _ = html.parse(page)
-    assert [t for t, p in zip(texts, places, strict=True) if p == html.IN_MAIN] == ["Head line", "One <two>bold", "three four"]
-    assert html.parse(None) == ([], [], []) and html.parse("a < b & c")[0] == ["a < b & c"]
+    assert [t for t, p in html.lines_of(page) if p == html.IN_MAIN] == ["Head line", "One <two>bold", "three four"]
+    assert html.lines_of(None) == [] and html.lines_of("a < b & c") == [("a < b & c", html.PLAIN)]
 
 
 def test_longest_common_subsequence_has_the_right_length():

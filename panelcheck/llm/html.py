@@ -9,10 +9,11 @@ The markup adds what alignment cannot know: lines in elements that are never mai
 notices, adverts, readers' comments) go although no neighbour shares them, and where a page names its main part (article, main),
 lines outside it go and a line inside it stays although a neighbour repeats it (articles quote the same passages).
 
-Only line hashes meet the neighbours; a page's text moves once, to its verdict.
+Pages are parsed twice: once for the line hashes, which are all that meets the neighbours, and once for the texts, which move
+once, compressed, to their verdict.
 
 Defined results: a null html has no lines and an empty text; a null or relative url belongs to the host ""; pages with equal
-url follow one another in table order; the only page of a host shares no line; repeated rows keep a row each; empty tables
+url follow one another by a hash; the only page of a host shares no line; repeated rows keep a row each; empty tables
 give empty results; extra columns are ignored.
 """
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -182,49 +184,64 @@ def stays(places: list[int], template: np.ndarray) -> np.ndarray:
     return (place == PLAIN) & ~template
 
 
-def parse(html: str | None) -> tuple[list[str], list[int], list[int]]:
-    """Texts, places and hashes of the lines; the text of a line that cannot stay is left out."""
+def outline(html: str | None) -> tuple[list[int]]:
+    """Hashes of the lines."""
+    return ([line_hash(t) for t, _ in lines_of(html)],)
+
+
+def packed(html: str | None) -> tuple[list[int], bytes]:
+    """Places of the lines, and the texts of those that can stay, compressed: texts are what moves."""
     lines = lines_of(html)
     least = IN_MAIN if any(p == IN_MAIN for _, p in lines) else PLAIN
-    return [t if p == least else "" for t, p in lines], [p for _, p in lines], [line_hash(t) for t, _ in lines]
+    return [p for _, p in lines], zlib.compress("\n".join(t if p == least else "" for t, p in lines).encode("utf-8", "surrogatepass"))
 
 
 def nearest(pages: DataFrame) -> DataFrame:
-    """(row, before, after): the line hashes of the next pages of the host by URL path.
+    """(key, hashes, before, after): the line hashes of a page and those of the next pages of the host by URL path.
 
     A host is numbered in pieces of its paths, and neighbours are looked up in runs of pages with a margin,
     so a host with a third of all pages spreads over tasks.
     """
     host = F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
     path = F.encode(F.coalesce(F.regexp_replace("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", ""), F.lit("")), "utf-8")
-    keyed = pages.select("row", "hashes", host.alias("host"), path.alias("path"))
+    keyed = pages.select("key", "hashes", host.alias("host"), path.alias("path"))
     # The first seven bytes of a path as a number, which does not decrease along the paths.
     piece = F.conv(F.rpad(F.hex(F.substring("path", 1, 7)), 14, "0"), 16, 10).cast("bigint")
-    numbered = ranked(keyed, ["host"], piece, [F.col("path"), F.col("row")], "rank")
+    numbered = ranked(keyed, ["host"], piece, [F.col("path"), F.col("key")], "rank")
     home = F.floor(F.col("rank") / RUN)
     copies = F.array_distinct(F.array(home, F.floor((F.col("rank") - REACH) / RUN), F.floor((F.col("rank") + REACH) / RUN)))
-    spread = numbered.select("row", "host", "rank", "hashes", home.alias("home"), F.explode(copies).alias("run"))
+    spread = numbered.select("key", "host", "rank", "hashes", home.alias("home"), F.explode(copies).alias("run"))
     w = W.partitionBy("host", "run").orderBy("rank")
     before = F.array_compact(F.array(*[F.lag("hashes", k).over(w) for k in range(1, REACH + 1)]))
     after = F.array_compact(F.array(*[F.lead("hashes", k).over(w) for k in range(1, REACH + 1)]))
-    around = spread.select("row", "home", "run", before.alias("before"), after.alias("after"))
-    return around.filter("run = home").select(F.col("row").alias("_row"), "before", "after")
+    around = spread.select("key", "hashes", "home", "run", before.alias("before"), after.alias("after"))
+    return around.filter("run = home").select("key", "hashes", "before", "after")
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of ``pages``: the id, url, text, n_chars, n_lines, n_template_lines."""
-    source = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("body"))
-    parsed = per_text(source, ["id", "url"], "body", parse, "lines array<string>, places array<int>, hashes array<bigint>")
-    parsed = written(parsed.withColumn("row", F.monotonically_increasing_id()), "page-lines")
-    around = nearest(parsed.select("row", "url", "hashes"))
-    met = parsed.join(around, F.col("row") == F.col("_row"), "left").select("id", "url", "lines", "places", "hashes", "before", "after")
+    source = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("body"))
+    source = source.withColumn("key", F.xxhash64(F.col("id").cast("string"), "url", "body"))  # equal rows share their verdict
+    outlines = per_text(source, ["key", "url"], "body", outline, "hashes array<bigint>").dropDuplicates(["key"])
+    around = nearest(written(outlines, "page-outlines"))
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)
+            shared = [template_lines(hashes, [before, after]).tolist() for hashes, before, after in each]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared, pa.list_(pa.bool_()))], names=["verdict_key", "template"])
+
+    verdicts = around.mapInArrow(align, "verdict_key bigint, template array<boolean>")
+    texts = per_text(source, ["id", "url", "key"], "body", packed, "places array<int>, texts binary")
+    met = texts.join(verdicts, F.col("key") == F.col("verdict_key"), "left").select("id", "url", "places", "texts", "template")
 
-    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts, gone = [], [], []
-            for lines, places, hashes, before, after in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
-                template = template_lines(hashes, [before or [], after or []])
+            for places, data, template in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                template = np.array(template, bool)
                 keep = stays(places, template)
+                lines = zlib.decompress(data).decode("utf-8", "surrogatepass").split("\n") if places else []
                 texts.append(" ".join(x for x, k in zip(lines, keep, strict=True) if k))
                 counts.append(len(lines))
                 gone.append(int(template.sum()))
@@ -233,4 +250,4 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=[id_col, "url", "text", "n_chars", "n_lines", "n_template_lines"])
 
     kind = source.schema["id"].dataType.simpleString()
-    return met.mapInArrow(differ, f"`{id_col}` {kind}, url string, text string, n_chars bigint, n_lines bigint, n_template_lines bigint")
+    return met.mapInArrow(assemble, f"`{id_col}` {kind}, url string, text string, n_chars bigint, n_lines bigint, n_template_lines bigint")

@@ -8,6 +8,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelcheck.sources.files import written_parquet
@@ -34,6 +35,20 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def in_order(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds ``rank``: the row's place, from 0, in the order of the whole table (``order`` is unique).
+
+    One range sort deals all rows evenly, whatever their keys; a row's rank is its place in its
+    partition plus the sizes of the partitions before, of which there are no more than tasks.
+    """
+    placed = written(df.orderBy(*order).withColumn("place", F.monotonically_increasing_id()), name)
+    part, index = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("part")).agg((F.max(index) + 1).alias("size"))
+    before = F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    starts = sizes.select("part", F.coalesce(before, F.lit(0)).alias("start"))
+    return placed.join(starts, part == F.col("part")).select(*df.columns, (F.col("start") + index).alias("rank"))
+
+
 def per_text(
     df: DataFrame, keep: list[str], text: str, fn: Callable[[str | None], tuple], schema: str, make: Callable[[], object] | None = None
 ) -> DataFrame:

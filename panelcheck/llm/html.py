@@ -28,12 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelcheck.functions.joins import ranked
-from panelcheck.llm.common import per_text, written
+from panelcheck.llm.common import in_order, per_text, written
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)", re.S
@@ -199,22 +198,21 @@ def packed(html: str | None) -> tuple[list[int], bytes]:
 def nearest(pages: DataFrame) -> DataFrame:
     """(key, hashes, before, after): the line hashes of a page and those of the next pages of the host by URL path.
 
-    A host is numbered in pieces of its paths, and neighbours are looked up in runs of pages with a margin,
+    All pages are numbered in one order, and neighbours are looked up in runs of pages with a margin,
     so a host with a third of all pages spreads over tasks.
     """
     host = F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
     path = F.encode(F.coalesce(F.regexp_replace("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", ""), F.lit("")), "utf-8")
-    keyed = pages.select("key", "hashes", host.alias("host"), path.alias("path"))
-    # The first seven bytes of a path as a number, which does not decrease along the paths.
-    piece = F.conv(F.rpad(F.hex(F.substring("path", 1, 7)), 14, "0"), 16, 10).cast("bigint")
-    numbered = ranked(keyed, ["host"], piece, [F.col("path"), F.col("key")], "rank")
+    numbered = in_order(pages.select("key", "hashes", host.alias("host"), path.alias("path")), ["host", "path", "key"], "page-order")
     home = F.floor(F.col("rank") / RUN)
     copies = F.array_distinct(F.array(home, F.floor((F.col("rank") - REACH) / RUN), F.floor((F.col("rank") + REACH) / RUN)))
     spread = numbered.select("key", "host", "rank", "hashes", home.alias("home"), F.explode(copies).alias("run"))
-    w = W.partitionBy("host", "run").orderBy("rank")
-    before = F.array_compact(F.array(*[F.lag("hashes", k).over(w) for k in range(1, REACH + 1)]))
-    after = F.array_compact(F.array(*[F.lead("hashes", k).over(w) for k in range(1, REACH + 1)]))
-    around = spread.select("key", "hashes", "home", "run", before.alias("before"), after.alias("after"))
+    w = W.partitionBy("run").orderBy("rank")
+
+    def side(move) -> Column:
+        return F.array_compact(F.array(*[F.when(move("host", k).over(w) == F.col("host"), move("hashes", k).over(w)) for k in range(1, REACH + 1)]))
+
+    around = spread.select("key", "hashes", "home", "run", side(F.lag).alias("before"), side(F.lead).alias("after"))
     return around.filter("run = home").select("key", "hashes", "before", "after")
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelcheck.llm.common import fresh, written
+from panelcheck.llm.common import fresh, in_order, written
 
 WORDS = 4  # of a shingle
 NUM, DEN = 85, 100  # the least Jaccard similarity
@@ -283,16 +283,10 @@ def points(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def leaves(nodes: DataFrame) -> DataFrame:
-    """Packs the nodes of each block into leaves: sorted by size and coordinates (16 bytes of them), in runs of LEAF nodes.
-
-    A block is numbered in pieces by size and first coordinate, so that a large one does not sort in a single task.
-    """
-    from panelcheck.functions.joins import ranked
-
-    key = nodes.select("block", "node", "n", F.substring("counts", 1, 16).alias("head"))
-    piece = F.col("n") * 256 + F.conv(F.hex(F.substring("head", 1, 1)), 16, 10).cast("bigint")
-    number = ranked(key, ["block"], piece, [F.col("n"), F.col("head"), F.col("node")], "rank").select(
-        F.col("node").alias("_node"), F.floor((F.col("rank") - 1) / LEAF).cast("bigint").alias("leaf")
+    """Packs the nodes of each block into leaves: all nodes sorted by block, size and coordinates, cut into runs of LEAF nodes."""
+    key = nodes.select("block", "n", F.substring("counts", 1, 16).alias("head"), "node")
+    number = in_order(key, ["block", "n", "head", "node"], "jaccard-order").select(
+        F.col("node").alias("_node"), F.floor(F.col("rank") / LEAF).cast("bigint").alias("leaf")
     )
     return nodes.join(number, F.col("node") == F.col("_node")).drop("_node")
 
@@ -306,10 +300,8 @@ def leaf_pairs(packed: DataFrame) -> DataFrame:
         row = {"block": t.column("block")[:1], "leaf": t.column("leaf")[:1], "least": [int(n.min())], "most": [int(n.max())]}
         return pa.table(row | {"top": pa.array([top.tolist()], pa.list_(pa.int32()))})
 
-    only = packed.groupBy("block").agg(F.max("leaf").alias("last"))
-    lone = only.filter("last = 0").select("block", F.lit(0).cast("bigint").alias("leaf"), F.xxhash64("block").alias("pair"), F.lit(1).alias("side"))
-    many = packed.select("block", "leaf", "n", "counts").join(only.filter("last > 0"), "block").drop("last")
-    box = many.groupBy("block", "leaf").applyInArrow(bounding_box, "block bigint, leaf bigint, least bigint, most bigint, top array<int>")
+    key = packed.select("block", "leaf", "n", "counts")
+    box = key.groupBy("block", "leaf").applyInArrow(bounding_box, "block bigint, leaf bigint, least bigint, most bigint, top array<int>")
     other = box.select("block", *[F.col(c).alias(f"o_{c}") for c in ("leaf", "least", "most", "top")])
     bound = F.aggregate(F.zip_with("top", "o_top", lambda x, y: F.least(x, y)), F.lit(0).cast("bigint"), lambda s, x: s + x)
     # Sizes: the smallest set of the later leaf against the largest of the earlier; leaves follow one another by size.
@@ -319,7 +311,7 @@ def leaf_pairs(packed: DataFrame) -> DataFrame:
     pair = open_pairs.select("block", F.col("leaf").alias("l1"), F.col("o_leaf").alias("l2"), F.xxhash64("block", "leaf", "o_leaf").alias("pair"))
     one = pair.select("block", F.col("l1").alias("leaf"), "pair", F.lit(1).alias("side"))
     two = pair.filter("l1 <> l2").select("block", F.col("l2").alias("leaf"), "pair", F.lit(2).alias("side"))
-    return lone.union(one).union(two)
+    return one.union(two)
 
 
 def leaf_links(packed: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """What all declaration extractors share.
 
 Input lines: a group column (an image, or an inspection when panels are read
-together), a dense ``line_number`` in that group, ``source_image_id``, ``text``,
+together), a ``line_number`` in that group, ``source_image_id``, ``text``,
 ``confidence`` and the box ``x, y, w, h``.
 
 Extractors that look at one line and its neighbours are column expressions that
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcheck.functions.expr import extract
-from panelcheck.functions.joins import with_neighbours
+from panelcheck.functions.joins import ranked, with_neighbours
 
 BOX = ["x", "y", "w", "h"]
 NEIGHBOURS = {
@@ -51,9 +51,22 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def context(lines: DataFrame, group: str = "source_image_id", wanted: dict | None = None) -> DataFrame:
-    """Lines with the neighbours the extractors ask for."""
-    return with_neighbours(lines, group, "line_number", NEIGHBOURS if wanted is None else wanted)
+def dense_lines(lines: DataFrame, group: str = "source_image_id") -> DataFrame:
+    """Lines numbered without gaps from the first number of their group; dense numbers stay as they are.
+
+    Lines with one number follow their place on the page.
+    """
+    given = F.col("_given")
+    first = lines.groupBy(F.col(group).alias("_group")).agg(F.min("line_number").alias("_first"))
+    numbered = ranked(lines.withColumnRenamed("line_number", "_given"), [group], F.floor(given / 4096), [given, F.col("y"), F.col("x"), F.col("text")], "_rank")
+    joined = numbered.join(first, F.col(group).eqNullSafe(F.col("_group")))
+    number = (F.col("_first") + F.col("_rank") - 1).cast(lines.schema["line_number"].dataType)
+    return joined.withColumn("line_number", number).select(*lines.columns)
+
+
+def context(lines: DataFrame, group: str = "source_image_id", wanted: dict | None = None, dense: bool = False) -> DataFrame:
+    """Lines with the neighbours the extractors ask for; ``dense`` says that the numbers have no gaps."""
+    return with_neighbours(lines if dense else dense_lines(lines, group), group, "line_number", NEIGHBOURS if wanted is None else wanted)
 
 
 def declaration(
@@ -63,8 +76,8 @@ def declaration(
     """A declaration struct where ``when`` holds, else null.
 
     ``stage`` and ``order_confidence`` order the candidates of a type: a lower
-    stage ends the search for later ones; with ``by_confidence`` false the first
-    line of the stage wins whatever its confidence.
+    stage ends the search for later ones; with ``by_confidence`` false (a null
+    order_confidence) the first line of the stage wins whatever its confidence.
     """
     box = box or [F.col(c) for c in BOX]
     return F.when(
@@ -77,7 +90,7 @@ def declaration(
             *[b.cast("double").alias(c) for b, c in zip(box, BOX)],
             (verdict if isinstance(verdict, Column) else F.lit(verdict)).alias("verdict"),
             F.lit(stage).alias("stage"),
-            (confidence if by_confidence else F.lit(0.0)).alias("order_confidence"),
+            (F.coalesce(confidence, F.lit(0.0)) if by_confidence else F.lit(None).cast("double")).alias("order_confidence"),
         ),
     )
 
@@ -109,7 +122,7 @@ def per_line(rows: DataFrame, keys: list[str], extractors: list) -> DataFrame:
 def settle_stages(candidates: DataFrame, group: str) -> DataFrame:
     """Drop candidates a lower stage has overruled; a first-line stage keeps its first line only."""
     lowest = candidates.groupBy(group, "field_type").agg(
-        F.min(F.struct("stage", F.when(F.col("order_confidence") == 0.0, F.col("line_number")).alias("only"))).alias("_low")
+        F.min(F.struct("stage", F.when(F.col("order_confidence").isNull(), F.col("line_number")).alias("only"))).alias("_low")
     )
     rows = candidates.join(lowest, [group, "field_type"])
     keep = (F.col("stage") == F.col("_low.stage")) & (F.col("_low.only").isNull() | (F.col("line_number") == F.col("_low.only")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelcheck import fixed_values as V
 from panelcheck.functions.expr import any_of, case_map, contains_any, extract, float_text, json_bool, json_object, json_text
 from panelcheck.operators.extract.lines import (
-    BOX, LineExtractor, context, declaration, group1, has, near, per_line, raised, rx, rx_cased, settle_stages, strip,
+    BOX, LineExtractor, context, declaration, dense_lines, group1, has, near, per_line, raised, rx, rx_cased, settle_stages, strip,
 )
 
 
@@ -53,10 +53,10 @@ def mrp_direct() -> LineExtractor:
     )
 
 
-def extract_mrp_direct(lines: DataFrame, group: str = "source_image_id") -> DataFrame:
+def extract_mrp_direct(lines: DataFrame, group: str = "source_image_id", dense: bool = False) -> DataFrame:
     wanted = {"next1_text": ("text", 1), "prev_text": ("text", -1), "next2_text": ("text", 2)}
     keys = list(dict.fromkeys([group, "source_image_id"]))
-    return per_line(context(lines, group, wanted), keys, [mrp_direct()])
+    return per_line(context(lines, group, wanted, dense), keys, [mrp_direct()])
 
 
 def extract_usp(lines: DataFrame, group: str = "source_image_id") -> DataFrame:
@@ -326,12 +326,13 @@ def name_before_net() -> LineExtractor:
     )
 
 
-def headlines(lines: DataFrame, group: str = "source_image_id", keys: list[str] | None = None) -> DataFrame:
-    """A name put together from up to four title fragments of the first ten lines.
+def headlines(lines: DataFrame, group: str = "source_image_id", keys: list[str] | None = None, dense: bool = False) -> DataFrame:
+    """A name put together from up to four title fragments of the first ten lines by position.
 
     Ten lines bound what a group collects.
     """
     keys = keys or [group]
+    lines = lines if dense else dense_lines(lines, group)
     first = lines.groupBy(group).agg(F.min("line_number").alias("_start"))
     top = lines.join(first, group).filter(F.col("line_number") < F.col("_start") + 10)
     pieces = top.select(

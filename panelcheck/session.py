@@ -61,8 +61,3 @@ def shared_dir(spark: SparkSession) -> str:
     made = os.environ.get("PANELCHECK_TEST_DIR") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     os.environ["PANELCHECK_TEST_DIR"] = made
     return made
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark) + "/checkpoints")

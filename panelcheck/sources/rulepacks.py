@@ -86,8 +86,8 @@ def list_rule_packs(packs: DataFrame) -> DataFrame:
 
 
 def active_pack(packs: DataFrame, default: DataFrame) -> DataFrame:
-    """The active pack, or the default pack where none is active."""
-    active = packs.filter("is_active").limit(1)
+    """The active pack, or the default pack where none is active.  Of several active ones the latest counts, then the smallest version."""
+    active = packs.filter("is_active").orderBy(F.desc_nulls_last("effective_from"), "version").limit(1)
     some = active.agg(F.count(F.lit(1)).alias("n")).scalar()
     return active.unionByName(default.filter(some == 0).withColumn("is_active", F.lit(True)), allowMissingColumns=True)
 

@@ -363,10 +363,26 @@ def _(f):
     return sync_batch(f)["results"].filter("outcome <> 'conflict'").select("request_seq", "images_synced", "images_skipped")
 
 
+@query("t2_dedup_keys", with_views("inspections") + "SELECT DISTINCT CAST(officer_id AS VARCHAR) AS officer_id, client_id FROM inspections")
+def _(f):
+    """Keys that a stream of all captures lets through: every capture is sent twice, in several files."""
+    folder = FI.new_folder(f.spark, "dedup")
+    rows = f.inspections().select(F.col("officer_id").cast("string").alias("officer_id"), "client_id", F.col("created_at").cast("timestamp").alias("created_at"))
+    rows.unionByName(rows).repartition(3).write.parquet(f"{folder}/in")
+    stream = f.spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+    kept = SY.dedup_stream(stream, ["officer_id", "client_id"], delay="36500 days")
+    writer = kept.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/mark")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return f.spark.read.parquet(f"{folder}/out").select("officer_id", "client_id")
+
+
 @query(
-    "t2_dedup_keys",
-    with_views("inspections") + "SELECT officer_id, client_id, count(*) AS copies, min(id) AS first_id FROM inspections GROUP BY 1, 2",
+    "t12_late_counts",
+    with_views("inspections")
+    + """SELECT CAST(created_at AS DATE) AS day, count(*) AS records, count(*) FILTER (id % 5 * 40000 > 86400) AS late, max(id % 5 * 40000) AS max_late_seconds
+ FROM inspections GROUP BY 1""",
 )
 def _(f):
-    """The final truth of deduplication: one row per client key, from the whole table."""
-    return f.inspections().groupBy("officer_id", "client_id").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first_id"))
+    created = F.col("created_at").cast("timestamp")
+    synced = F.timestamp_seconds(F.unix_timestamp(created) + F.col("id") % 5 * 40000)
+    return SY.late_counts(f.inspections().select(created.alias("created_at"), synced.alias("synced_at")))

@@ -1,5 +1,7 @@
 """Streaming results equal the results of the same functions on tables."""
 
+import datetime as dt
+import time
 import uuid
 
 import pytest
@@ -54,13 +56,33 @@ def test_retry_state_equals_the_batch(spark, fx, place):
     live = SY.sync_state_stream(
         spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in").withColumn("order", F.lit(0)).drop("order")
     )
-    got = run(live, "update").groupBy("client_id").agg(F.max_by(F.struct("status", "attempts", "failure_category"), "attempts").alias("s"))
-    want = SY.sync_state(events)
-    # resets lower the counter, so only keys without one have a largest last state
-    plain = events.groupBy("client_id").agg(F.max(F.col("outcome") == "reset").alias("r")).filter("NOT r").select("client_id")
-    a = got.join(plain, "client_id").select("client_id", "s.*")
-    b = want.join(plain, "client_id").select("client_id", "status", "attempts", "failure_category")
-    assert key(a) == key(b)
+    state = F.struct("status", "attempts", "failure_category")
+    got = run(live, "update").groupBy("client_id").agg(F.max_by(state, "last_seq").alias("s")).select("client_id", "s.*")
+    want = SY.sync_state(events).select("client_id", "status", "attempts", "failure_category")
+    assert key(got) == key(want) and events.filter("outcome = 'reset'").count() > 0
+
+
+def test_replayed_and_late_events_change_nothing(spark, place):
+    def event(client, seq, outcome):
+        return (client, seq, dt.datetime(2026, 1, 1, 0, 0, seq), outcome)
+
+    schema = "client_id string, seq bigint, ts timestamp, outcome string"
+    first = [event("a", 1, "transient"), event("a", 3, "transient"), event("b", 1, "transient"), event("b", 2, "reset")]
+    again = [event("a", 1, "transient"), event("a", 2, "permanent"), event("b", 2, "reset"), event("b", 3, "transient")]
+    for rows in (first, again):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{place}/in")
+        time.sleep(1.1)
+    live = SY.sync_state_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in"))
+    last = run(live, "update").groupBy("client_id").agg(F.max_by(F.struct("status", "attempts"), "last_seq").alias("s")).select("client_id", "s.*")
+    assert sorted(map(tuple, last.collect())) == [("a", "failed", 2), ("b", "failed", 1)]
+
+
+def test_requests_that_differ_anywhere_are_two(spark):
+    base = {"officer_id": "1", "client_id": "c", "created_at": dt.datetime(2026, 1, 1), "commodity_category": "food", "region": "n"}
+    rows = [base, base | {"commodity_category": "general"}, base | {"region": None}, base]
+    table = spark.createDataFrame(rows, "officer_id string, client_id string, created_at timestamp, commodity_category string, region string")
+    names = [r["request_seq"] for r in SY.number_requests(table).collect()]
+    assert len(set(names)) == 4 and sorted(names) == sorted(r["request_seq"] for r in SY.number_requests(table.repartition(3)).collect())
 
 
 def test_backoff_column_equals_the_function(spark):

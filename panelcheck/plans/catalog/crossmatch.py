@@ -63,6 +63,11 @@ KINDS = {
     "m8_country": ("ecommerce_origin_mismatch", "country_mismatch"),
     "m9_manufacturer": ("ecommerce_manufacturer_mismatch",),
 }
+# A kind belongs to its field types, so the others need not be compared at all.
+TYPES = {
+    "m3_mrp_sticker": ("mrp",), "m4_mrp_panels": ("mrp",), "m5_mrp_listing": ("mrp",), "m6_net_quantity": ("net_quantity",),
+    "m7_dates": M.DATE_TYPES, "m8_country": ("country_of_origin",), "m9_manufacturer": M.MAKER_TYPES,
+}
 view("found", ("cocc", "physical_first"), " UNION ALL ".join(PAIRS.values()))
 view("report", ("inspections", "images", "grp", "found"), """SELECT i.id AS inspection_id,
  (SELECT count(*) FROM images m WHERE m.inspection_id = i.id) AS total_images, coalesce(c.n, 0) AS total_declarations_compared,
@@ -73,12 +78,13 @@ view("report", ("inspections", "images", "grp", "found"), """SELECT i.id AS insp
  ON c.inspection_id = i.id""")
 
 
-def suspects(f, groups=None):
-    return written_parquet(f.spark, M.suspects(f.extracted_fields(), f.images(), groups=groups), "suspects")
+def suspects(f, groups=None, types=None):
+    fields = f.extracted_fields() if types is None else f.extracted_fields().filter(F.col("field_type").isin(*types))
+    return written_parquet(f.spark, M.suspects(fields, f.images(), groups=groups), "suspects")
 
 
-def found(f):
-    return M.discrepancies(suspects(f))
+def found(f, types=None):
+    return M.discrepancies(suspects(f, types=types))
 
 
 def report(f):
@@ -103,7 +109,7 @@ def _(f):
 def _pairs(name):
     @query(name, with_views("cocc", "physical_first") + PAIRS[name])
     def _(f):
-        return M.only(found(f), *KINDS[name]).select(
+        return M.only(found(f, TYPES[name]), *KINDS[name]).select(
             "inspection_id", "field_type", "discrepancy_type", "first_field_id", "second_field_id"
         )
 

@@ -17,7 +17,7 @@ SAMPLE = [
     "g6_region_issues", "g8_near_duplicates", "g10_detection_metrics", "g13_extraction_gaps", "g16_corroborate", "g21_coco_annotations",
     "k2_quality_scores", "k5_valid_gtin", "l2_verify_registrations", "l5_idempotent_create",
     "m1_cross_match", "m10_discrepancies_to_violations", "o1_orphans", "r12_register_pack", "r13_evaluate_rules",
-    "s6_load_annotation_tasks", "s9_replace_snapshot", "t1_sync_images", "t4_sync_state", "t7_latency_quantiles", "t11_sustained",
+    "s6_load_annotation_tasks", "s9_replace_snapshot", "t1_sync_images", "t2_dedup_keys", "t4_sync_state", "t7_latency_quantiles", "t11_sustained", "t12_late_counts",
     "v3_apply_reviews_single", "v5_status_after_review", "v6_evidence_items", "x2_extract_mrp_direct", "x7_extract_net_quantity", "x21_words_to_lines",
 ]
 NAMES = sorted(queries()) if os.environ.get("PANELCHECK_FULL") else SAMPLE

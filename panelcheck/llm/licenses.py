@@ -6,7 +6,8 @@ a bounded sample of ordinary paragraphs (``NEGATIVES``; the only sample).  Its p
 see: a paragraph that is licence-like but below the calibrated probability of every family is ``unknown``.  A predicted family counts
 only if the paragraph matches one of its templates; else it is ``unknown`` too.
 
-Scoring is sparse: n-grams meet the few hundred learned ones in a broadcast join, so ordinary paragraphs leave at once.
+Scoring is sparse: a paragraph without any of the words that the weighted n-grams need has no feature and leaves at once; n-grams of the
+others meet the few hundred weighted ones in a broadcast join.
 DataFrame and ML operations in the JVM only; the model that reaches the driver has vocabulary x families numbers.
 
 Defined results: a null or empty text has no paragraphs; repeated rows get equal results; a null id is kept; an empty table trains on
@@ -118,8 +119,9 @@ def ordinary(docs: DataFrame) -> DataFrame:
     return lines.orderBy("h", "line").limit(NEGATIVES).select(F.lit(NONE).alias("family"), words(F.col("line")).alias("w"), (F.col("h") % 3 == 0).alias("held"))
 
 
-def fit(docs: DataFrame) -> tuple[DataFrame, list[str], list[float], float]:
-    """(gram, id, w) with a weight for each family, the families, their intercepts, and the calibrated probability."""
+def fit(docs: DataFrame) -> tuple[DataFrame, list[str], list[float], float, list[str]]:
+    """(gram, id, w) with a weight for each family, the families, their intercepts, the calibrated probability, and the gate:
+    of every weighted n-gram its rarest word in ordinary paragraphs, so that a paragraph without any of them has no feature."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import CountVectorizerModel
 
@@ -141,7 +143,11 @@ def fit(docs: DataFrame) -> tuple[DataFrame, list[str], list[float], float]:
         {"gram": g, "id": i, "w": [round(float(x), 6) for x in matrix[:, i]]} for i, g in enumerate(vocabulary) if abs(matrix[:, i]).max() > 1e-6
     ]
     weights = json_rows(spark, table, "gram string, id int, w array<double>")
-    return weights, names, [round(float(b), 6) for b in bias], calibrated(model, data, names)
+    parts = sorted({w for r in table for w in r["gram"].split(" ")})
+    seen = negative.select(F.explode(F.array_distinct("w")).alias("word")).filter(F.col("word").isin(parts)).groupBy("word").count()
+    often = {r["word"]: r["count"] for r in seen.collect()}  # words of the weighted n-grams at most
+    gate = sorted({min(r["gram"].split(" "), key=lambda w: (often.get(w, 0), w)) for r in table})
+    return weights, names, [round(float(b), 6) for b in bias], calibrated(model, data, names), gate
 
 
 def calibrated(model, data: DataFrame, names: list[str]) -> float:
@@ -170,11 +176,13 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body"))
     source = source.withColumn("key", F.xxhash64(F.col("id").cast("string"), "body"))
-    weights, names, bias, least = fit(source)
+    weights, names, bias, least, gate = fit(source)
     weights = written(weights, "licence-weights")
 
     # Sparse scoring; sets, so that repeated rows (one key) add nothing.
-    each = paragraphs(source).select("key", "para", grams(words(F.col("line"))).alias("g")).select("key", "para", F.size("g").alias("n"), F.explode("g").alias("gram"))
+    lines = paragraphs(source).select("key", "para", words(F.col("line")).alias("words"))
+    open_lines = lines.filter(F.arrays_overlap("words", F.array(*map(F.lit, gate)))) if gate else lines.limit(0)
+    each = open_lines.select("key", "para", grams(F.col("words")).alias("g")).select("key", "para", F.size("g").alias("n"), F.explode("g").alias("gram"))
     hits = each.join(F.broadcast(weights), "gram").groupBy("key", "para").agg(F.max("n").alias("n"), F.collect_set(F.struct("id", "w")).alias("hits"))
     zero = F.array(*map(F.lit, bias))
     logits = F.aggregate(F.array_sort("hits"), zero, lambda s, h: F.zip_with(s, h["w"], lambda a, b: a + b))

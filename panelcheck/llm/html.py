@@ -6,8 +6,8 @@ lines is a copy of the page and says nothing about the template; the next one is
 
 Lines come from the markup: block elements end a line.  Scripts, styles and the like have no lines.  Every other line is aligned.
 The markup adds what alignment cannot know: lines in elements that are never main text (menus, headers, footers, sidebars, forms,
-notices, adverts, readers' comments) go although no neighbour shares them, and where a page names its main part (article, main),
-lines outside it go and a line inside it stays although a neighbour repeats it (articles quote the same passages).
+notices, adverts, readers' comments) go although no neighbour shares them.  Where a page names its main part (article, main), a shared line
+inside it still stays if at most FEW different pages of the whole host have it (articles quote the same passages).
 
 Pages are parsed twice: once for the line hashes, which are all that meets the neighbours, and once for the texts, which move
 once, compressed, to their verdict.
@@ -57,6 +57,7 @@ READER_CLASS = re.compile(r"(?:\w+[-_])?(?:comments?|reply|replies|related|recom
 PLAIN, IN_MAIN, IN_CHROME = 0, 1, 2
 COPY_SHARE = 0.8  # neighbours with so many shared lines are copies
 REACH = 3  # neighbours looked at on each side
+FEW = 3  # different pages of a host that may quote one line of their main parts
 RUN = 256  # pages of a piece of a host
 
 
@@ -175,12 +176,11 @@ def template_lines(own: list[int], sides: list[list[list[int]]]) -> np.ndarray:
     return gone
 
 
-def stays(places: list[int], template: np.ndarray) -> np.ndarray:
-    """Which lines are main text."""
+def stays(places: list[int], template: np.ndarray, counts: list[int]) -> np.ndarray:
+    """Which lines are main text: those that are not template; ``counts`` are the pages of the host with each line."""
     place = np.array(places, np.int64)
-    if (place == IN_MAIN).any():
-        return place == IN_MAIN
-    return (place == PLAIN) & ~template
+    quoted = (place == IN_MAIN) & (np.array(counts, np.int64) <= FEW)
+    return (place != IN_CHROME) & (~template | quoted)
 
 
 def outline(html: str | None) -> tuple[list[int]]:
@@ -191,29 +191,37 @@ def outline(html: str | None) -> tuple[list[int]]:
 def packed(html: str | None) -> tuple[list[int], bytes]:
     """Places of the lines, and the texts of those that can stay, compressed: texts are what moves."""
     lines = lines_of(html)
-    least = IN_MAIN if any(p == IN_MAIN for _, p in lines) else PLAIN
-    return [p for _, p in lines], zlib.compress("\n".join(t if p == least else "" for t, p in lines).encode("utf-8", "surrogatepass"))
+    return [p for _, p in lines], zlib.compress("\n".join("" if p == IN_CHROME else t for t, p in lines).encode("utf-8", "surrogatepass"))
+
+
+def counted(numbered: DataFrame) -> DataFrame:
+    """Adds ``counts``: for each line, how many different pages (by their lines) of the whole host have it."""
+    each = numbered.select("rank", F.xxhash64("host").alias("site"), F.xxhash64("hashes").alias("page"), F.posexplode("hashes").alias("at", "line"))
+    often = each.groupBy("site", "line").agg(F.countDistinct("page").cast("int").alias("n")).filter("n > 1")
+    of_page = each.join(often, ["site", "line"]).groupBy("rank").agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("often"))
+    counts = F.transform("hashes", lambda _, i: F.coalesce(F.col("often")[i], F.lit(1)))
+    return numbered.join(of_page, "rank", "left").withColumn("counts", counts).drop("often")
 
 
 def nearest(pages: DataFrame) -> DataFrame:
-    """(key, hashes, before, after): the line hashes of a page and those of the next pages of the host by URL path.
+    """(key, hashes, counts, before, after): the line hashes of a page, the pages of the host with each, and the hashes of the next pages by URL path.
 
     All pages are numbered in one order, and neighbours are looked up in runs of pages with a margin,
     so a host with a third of all pages spreads over tasks.
     """
     host = F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
     path = F.encode(F.coalesce(F.regexp_replace("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", ""), F.lit("")), "utf-8")
-    numbered = in_order(pages.select("key", "hashes", host.alias("host"), path.alias("path")), ["host", "path", "key"], "page-order")
+    numbered = counted(in_order(pages.select("key", "hashes", host.alias("host"), path.alias("path")), ["host", "path", "key"], "page-order"))
     home = F.floor(F.col("rank") / RUN)
     copies = F.array_distinct(F.array(home, F.floor((F.col("rank") - REACH) / RUN), F.floor((F.col("rank") + REACH) / RUN)))
-    spread = numbered.select("key", "host", "rank", "hashes", home.alias("home"), F.explode(copies).alias("run"))
+    spread = numbered.select("key", "host", "rank", "hashes", "counts", home.alias("home"), F.explode(copies).alias("run"))
     w = W.partitionBy("run").orderBy("rank")
 
     def side(move) -> Column:
         return F.array_compact(F.array(*[F.when(move("host", k).over(w) == F.col("host"), move("hashes", k).over(w)) for k in range(1, REACH + 1)]))
 
-    around = spread.select("key", "hashes", "home", "run", side(F.lag).alias("before"), side(F.lead).alias("after"))
-    return around.filter("run = home").select("key", "hashes", "before", "after")
+    around = spread.select("key", "hashes", "counts", "home", "run", side(F.lag).alias("before"), side(F.lead).alias("after"))
+    return around.filter("run = home").select("key", "hashes", "counts", "before", "after")
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -226,19 +234,19 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             each = zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)
-            shared = [template_lines(hashes, [before, after]).tolist() for hashes, before, after in each]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared, pa.list_(pa.bool_()))], names=["verdict_key", "template"])
+            shared = [template_lines(hashes, [before, after]).tolist() for hashes, _, before, after in each]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared, pa.list_(pa.bool_())), batch.column(2)], names=["verdict_key", "template", "counts"])
 
-    verdicts = around.mapInArrow(align, "verdict_key bigint, template array<boolean>")
+    verdicts = around.mapInArrow(align, "verdict_key bigint, template array<boolean>, counts array<int>")
     texts = per_text(source, ["id", "url", "key"], "body", packed, "places array<int>, texts binary")
-    met = texts.join(verdicts, F.col("key") == F.col("verdict_key"), "left").select("id", "url", "places", "texts", "template")
+    met = texts.join(verdicts, F.col("key") == F.col("verdict_key"), "left").select("id", "url", "places", "texts", "template", "counts")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts, gone = [], [], []
-            for places, data, template in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+            for places, data, template, count in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
                 template = np.array(template, bool)
-                keep = stays(places, template)
+                keep = stays(places, template, count)
                 lines = zlib.decompress(data).decode("utf-8", "surrogatepass").split("\n") if places else []
                 texts.append(" ".join(x for x, k in zip(lines, keep, strict=True) if k))
                 counts.append(len(lines))

@@ -172,6 +172,16 @@ def test_template_goes_without_named_parts(spark):
     assert html.extract_main_text(empty).collect() == []
 
 
+def test_alignment_decides_inside_and_outside_the_main_part(spark):
+    def page(i):
+        quote = "<p>A passage that two quote.</p>" if i in (4, 5) else ""
+        return f"<body><div>Site name</div><div>Dateline {i}</div><main><h1>Story {i}</h1><div>Send to a friend</div><p>Only here {i}.</p>{quote}<div>Read next</div></main><div>Contact us</div></body>"
+
+    rows = [(i, f"http://a.org/x/{i:03d}", page(i)) for i in range(40)]
+    out = {r["page_id"]: r["text"] for r in html.extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert out == {i: f"Dateline {i} Story {i} Only here {i}." + (" A passage that two quote." if i in (4, 5) else "") for i in range(40)}
+
+
 # Mixing
 
 

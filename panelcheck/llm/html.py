@@ -2,7 +2,9 @@
 
 Pages of a host are sorted by URL path, and each page is compared with its nearest neighbours on both sides: the lines of
 both pages are aligned by longest common subsequence, and shared lines are template, so they go.  A neighbour that shares nearly all
-lines is a copy of the page and says nothing about the template; the next one is taken.
+lines is a copy of the page and says nothing about the template; the next one is taken.  For this, lines weigh by how few different pages of
+the host have them, so long menus make no copies.  Pages in a row that are copies of the page before form a run; where the nearest pages
+of a side are copies, the far end of the run and the pages beyond it are looked at, however long the run is.
 
 Lines come from the markup: block elements end a line.  Scripts, styles and the like have no lines.  Every other line is aligned.
 The markup adds what alignment cannot know: lines in elements that are never main text (menus, headers, footers, sidebars, forms,
@@ -55,8 +57,10 @@ CHROME_CLASS = re.compile(
 )
 READER_CLASS = re.compile(r"(?:\w+[-_])?(?:comments?|reply|replies|related|recommended|sponsored|promo|ads?|advert)(?:[-_]\w+)*", re.I)
 PLAIN, IN_MAIN, IN_CHROME = 0, 1, 2
-COPY_SHARE = 0.8  # neighbours with so many shared lines are copies
-REACH = 3  # neighbours looked at on each side
+COPY_SHARE = 0.8  # neighbours with so much of the weight of the lines shared are copies
+REACH = 3  # nearest neighbours looked at on each side, before the end of a run of copies
+BEYOND = 3  # pages looked at after the end of a run
+PIECE = 4096  # pages in which the ends of runs are found together
 FEW = 3  # different pages of a host that may quote one line of their main parts
 RUN = 256  # pages of a piece of a host
 
@@ -163,19 +167,39 @@ def _longest_chain(a: list[int], b: list[int]) -> list[int]:
     return out[::-1]
 
 
-def template_lines(own: list[int], sides: list[list[list[int]]]) -> np.ndarray:
-    """Which lines the nearest neighbour on some side shares, copies of the page aside."""
-    a = np.array(own, np.int64)
+def shared_lines(a: np.ndarray, a_weights: np.ndarray, b: np.ndarray, b_weights: np.ndarray) -> np.ndarray | None:
+    """Which lines of ``a`` also ``b`` has; None if the two are copies."""
+    shared = common_lines(a, b)
+    return shared if a_weights[shared].sum() < COPY_SHARE * max(a_weights.sum(), b_weights.sum(), 1e-9) else None
+
+
+def weights(counts: list[int], pages: int) -> np.ndarray:
+    """Weights of lines: the fewer of the host's different pages have a line, the more it tells about copies.
+
+    Lines of a quarter of the pages or fewer weigh alike, for copies of one page may be many: a menu of a small section weighs like text.
+    """
+    return np.minimum(np.log((pages + 1) / np.array(counts, np.float64)), np.log(4))
+
+
+def template_lines(own: dict, sides: list[list[dict]], pages: int) -> np.ndarray:
+    """Which lines the nearest neighbour on some side shares, copies of the page aside; a page has ``hashes`` and ``counts``."""
+    a, w = np.array(own["hashes"], np.int64), weights(own["counts"], pages)
     gone = np.zeros(len(a), bool)
     for side in sides:
         for other in side:
-            shared = common_lines(a, np.array(other, np.int64))
-            if shared.sum() < COPY_SHARE * max(len(a), len(other), 1):
+            shared = shared_lines(a, w, np.array(other["hashes"], np.int64), weights(other["counts"], pages))
+            if shared is not None:
                 gone |= shared
                 break
     return gone
 
 
+def copies(own: dict, other: dict, pages: int) -> bool:
+    """Whether two pages of a host are copies."""
+    a, b = (np.array(x["hashes"], np.int64) for x in (own, other))
+    return shared_lines(a, weights(own["counts"], pages), b, weights(other["counts"], pages)) is None
+
+
 def stays(places: list[int], template: np.ndarray, counts: list[int]) -> np.ndarray:
     """Which lines are main text: those that are not template; ``counts`` are the pages of the host with each line."""
     place = np.array(places, np.int64)
@@ -195,33 +219,79 @@ def packed(html: str | None) -> tuple[list[int], bytes]:
 
 
 def counted(numbered: DataFrame) -> DataFrame:
-    """Adds ``counts``: for each line, how many different pages (by their lines) of the whole host have it."""
+    """(key, host, rank, page, pages): ``page`` has the line hashes and, for each, how many different pages (by their lines) of the
+    whole host have the line; ``pages`` are the different pages of the host."""
     each = numbered.select("rank", F.xxhash64("host").alias("site"), F.xxhash64("hashes").alias("page"), F.posexplode("hashes").alias("at", "line"))
     often = each.groupBy("site", "line").agg(F.countDistinct("page").cast("int").alias("n")).filter("n > 1")
     of_page = each.join(often, ["site", "line"]).groupBy("rank").agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("often"))
     counts = F.transform("hashes", lambda _, i: F.coalesce(F.col("often")[i], F.lit(1)))
-    return numbered.join(of_page, "rank", "left").withColumn("counts", counts).drop("often")
+    sizes = numbered.groupBy("host").agg(F.countDistinct(F.xxhash64("hashes")).cast("int").alias("pages"))
+    page = F.struct("hashes", counts.alias("counts")).alias("page")
+    return numbered.join(of_page, "rank", "left").join(sizes, "host").select("key", "host", "rank", page, "pages")
+
+
+def run_ends(numbered: DataFrame) -> DataFrame:
+    """(rank, host, begin, end): the run of copies that holds the page, ``end`` being the rank after it.
+
+    Runs of any length; ends are found by piece, and between pieces from one row for each.
+    """
+    before = numbered.select((F.col("rank") + 1).alias("rank"), F.col("host").alias("b_host"), F.col("page").alias("b_page"))
+    pair = F.when(F.col("host") == F.col("b_host"), F.col("b_page"))
+    met = numbered.join(before, "rank", "left").select("rank", "host", "page", pair.alias("b_page"), "pages")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            copy = []
+            for own, other, pages in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                copy.append(other is not None and (own["hashes"] == other["hashes"] or copies(own, other, pages)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(copy, pa.bool_())], names=["rank", "host", "copy"])
+
+    flags = written(met.mapInArrow(compare, "rank bigint, host string, copy boolean"), "page-copies").withColumn("piece", F.floor(F.col("rank") / PIECE))
+    start = F.when(~F.col("copy"), F.col("rank"))
+    up, down = (W.partitionBy("piece").orderBy(o) for o in (F.col("rank"), F.col("rank").desc()))
+    inside = flags.select(
+        "rank", "host", "piece", F.max(start).over(up.rowsBetween(W.unboundedPreceding, 0)).alias("begin"), F.min(start).over(down.rowsBetween(W.unboundedPreceding, -1)).alias("end")
+    )
+    pieces = flags.groupBy("piece").agg(F.max(start).alias("last"), F.min(start).alias("first"), (F.max("rank") + 1).alias("top"))
+    up, down = (W.orderBy(o).rowsBetween(W.unboundedPreceding, -1) for o in (F.col("piece"), F.col("piece").desc()))
+    around = pieces.select("piece", F.max("last").over(up).alias("last"), F.coalesce(F.min("first").over(down), F.max("top").over(down), "top").alias("first"))
+    return inside.join(around, "piece").select("rank", "host", F.coalesce("begin", "last").alias("begin"), F.coalesce("end", "first").alias("end"))
+
+
+def beyond_runs(numbered: DataFrame) -> DataFrame:
+    """(rank, far_before, far_after) of pages in runs longer than REACH: the page at the end of the run on that side and the next ones of the host."""
+    ends = run_ends(numbered).filter(F.col("end") - F.col("begin") > REACH)
+    runs = ends.filter("rank = begin").select("host", "begin", "end")
+    places = [F.struct(F.lit(0).alias("side"), F.lit(k).alias("step"), (F.col("begin") - k).alias("rank")) for k in range(BEYOND + 1)]
+    places += [F.struct(F.lit(1).alias("side"), F.lit(k).alias("step"), (F.col("end") - 1 + k).alias("rank")) for k in range(BEYOND + 1)]
+    found = runs.select("host", "begin", F.explode(F.array(*places)).alias("p")).select("host", "begin", "p.*").join(numbered.select("host", "rank", "page"), ["host", "rank"])
+    each = found.groupBy("begin").agg(F.array_sort(F.collect_list(F.struct("side", "step", "page"))).alias("all"))
+    side = lambda k: F.transform(F.filter("all", lambda x: x["side"] == k), lambda x: x["page"])
+    return ends.select("rank", "begin").join(each.select("begin", side(0).alias("far_before"), side(1).alias("far_after")), "begin").drop("begin")
 
 
 def nearest(pages: DataFrame) -> DataFrame:
-    """(key, hashes, counts, before, after): the line hashes of a page, the pages of the host with each, and the hashes of the next pages by URL path.
+    """(key, page, before, after, pages): the lines of a page, those of the next pages of the host by URL path, and the different pages of the host.
 
     All pages are numbered in one order, and neighbours are looked up in runs of pages with a margin,
     so a host with a third of all pages spreads over tasks.
     """
     host = F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
     path = F.encode(F.coalesce(F.regexp_replace("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", ""), F.lit("")), "utf-8")
-    numbered = counted(in_order(pages.select("key", "hashes", host.alias("host"), path.alias("path")), ["host", "path", "key"], "page-order"))
+    ordered = in_order(pages.select("key", "hashes", host.alias("host"), path.alias("path")), ["host", "path", "key"], "page-order")
+    numbered = written(counted(ordered), "page-counts")
     home = F.floor(F.col("rank") / RUN)
     copies = F.array_distinct(F.array(home, F.floor((F.col("rank") - REACH) / RUN), F.floor((F.col("rank") + REACH) / RUN)))
-    spread = numbered.select("key", "host", "rank", "hashes", "counts", home.alias("home"), F.explode(copies).alias("run"))
+    spread = numbered.select("key", "host", "rank", "page", "pages", home.alias("home"), F.explode(copies).alias("run"))
     w = W.partitionBy("run").orderBy("rank")
 
     def side(move) -> Column:
-        return F.array_compact(F.array(*[F.when(move("host", k).over(w) == F.col("host"), move("hashes", k).over(w)) for k in range(1, REACH + 1)]))
+        return F.array_compact(F.array(*[F.when(move("host", k).over(w) == F.col("host"), move("page", k).over(w)) for k in range(1, REACH + 1)]))
 
-    around = spread.select("key", "hashes", "counts", "home", "run", side(F.lag).alias("before"), side(F.lead).alias("after"))
-    return around.filter("run = home").select("key", "hashes", "counts", "before", "after")
+    around = spread.select("key", "rank", "page", "pages", "home", "run", side(F.lag).alias("before"), side(F.lead).alias("after")).filter("run = home")
+    met = around.join(beyond_runs(numbered), "rank", "left")
+    both = lambda near, far: F.when(F.col(far).isNull(), F.col(near)).otherwise(F.concat(near, far)).alias(near)
+    return met.select("key", "page", both("before", "far_before"), both("after", "far_after"), "pages")
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -234,8 +304,13 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             each = zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)
-            shared = [template_lines(hashes, [before, after]).tolist() for hashes, _, before, after in each]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared, pa.list_(pa.bool_())), batch.column(2)], names=["verdict_key", "template", "counts"])
+            shared, counts = [], []
+            for page, before, after, pages in each:
+                shared.append(template_lines(page, [before, after], pages).tolist())
+                counts.append(page["counts"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(shared, pa.list_(pa.bool_())), pa.array(counts, pa.list_(pa.int32()))], names=["verdict_key", "template", "counts"]
+            )
 
     verdicts = around.mapInArrow(align, "verdict_key bigint, template array<boolean>, counts array<int>")
     texts = per_text(source, ["id", "url", "key"], "body", packed, "places array<int>, texts binary")

@@ -182,6 +182,21 @@ def test_alignment_decides_inside_and_outside_the_main_part(spark):
     assert out == {i: f"Dateline {i} Story {i} Only here {i}." + (" A passage that two quote." if i in (4, 5) else "") for i in range(40)}
 
 
+def test_long_menus_are_no_copies_and_runs_of_copies_end(spark, monkeypatch):
+    monkeypatch.setattr(html, "PIECE", 7)
+    div = lambda lines: "".join(f"<div>{x}</div>" for x in lines)
+    menu = [f"Menu {k}" for k in range(40)]
+    own = lambda i: [f"Own {i} {k}" for k in range(8)]
+    rows, want = [], {}
+    for i in range(30):
+        for v in range(30 if i == 12 else 10 if i == 20 else 5 if i in (0, 29) else 1):
+            more = [f"Session {v}"] if i == 20 else []
+            rows.append((len(rows), f"http://a.org/{i:02d}?v={v:02d}", div(menu + own(i) + more)))
+            want[len(rows) - 1] = " ".join(own(i) + more)
+    out = {r["page_id"]: r["text"] for r in html.extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert out == want
+
+
 # Mixing
 
 

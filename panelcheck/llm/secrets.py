@@ -3,7 +3,7 @@
 Every text is scanned for credentials (base kinds with fixed patterns) and for
 further random-looking tokens.  The hash of each candidate value is counted
 over the corpus by distinct repositories and owners: a value seen with many
-owners is a copied example, a value of few owners looks live.
+owners or in many repositories is a copied example, any other looks live.
 Random-looking tokens become spans only when they look live; base spans always stay.
 
 Defined results: a null text has no spans; a null owner or repository counts as
@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,7 @@ HEX = re.compile(rf"(?<![0-9a-f])[0-9a-f]{{{MIN_HEX},}}")
 RANDOM = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{MIN_RANDOM},}}")
 MIN_BITS = 3.5  # bits a character, of a random-looking token
 EXAMPLE_OWNERS = 3  # a value with so many owners is a copied example
+EXAMPLE_REPOS = 10  # a value in so many repositories is one too, whoever owns them
 
 SPAN = "struct<start: int, ord: int, kind: string, end: int, hash: bigint>"
 
@@ -43,7 +45,7 @@ def value_hash(value: str) -> int:
 
 def bits_per_char(value: str) -> float:
     n = len(value)
-    return -sum(c / n * math.log2(c / n) for c in map(value.count, set(value)))
+    return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, int, str]]:
@@ -62,7 +64,7 @@ def random_spans(text: str, base: list[tuple]) -> list[tuple[int, int, str, int,
             reach, k = max(reach, base[k][3]), k + 1
         value = m[0]
         mixed = re.search("[0-9]", value) and re.search("[A-Z]", value) and re.search("[a-z]", value)
-        if reach <= m.start() and mixed and bits_per_char(value[:256]) >= MIN_BITS:
+        if reach <= m.start() and mixed and bits_per_char(value) >= MIN_BITS:
             found.append((m.start(), 3, "token", m.end(), value))
     return found
 
@@ -92,14 +94,15 @@ def ownership(scanned: DataFrame) -> DataFrame:
 
 
 def find_secrets(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source",
+    example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS,
 ) -> DataFrame:
     """One row per row of ``docs``: the id, n_assign, n_access, n_hex, base_sha256, all (spans with their ownership), and how many
     values look live or like copied examples (n_live, n_example; the latter with tokens that are no span)."""
     scanned = written(scan(docs, id_col, text_col, repo_col, owner_col), "secret-scan")
     each = scanned.select("row", F.explode("found").alias("s"))
     known = each.join(ownership(scanned), F.col("s.hash") == F.col("hash"))
-    live = F.col("n_owners") < example_owners
+    live = (F.col("n_owners") < example_owners) & (F.col("n_repos") < example_repos)
     span = F.struct("s.start", "s.ord", "s.kind", "s.end", "s.hash", "n_repos", "n_owners", live.alias("live"))
     per_row = known.groupBy("row").agg(F.collect_list(span).alias("spans"))
     stays = lambda s: (s["ord"] < 3) | s["live"]

@@ -40,6 +40,21 @@ def test_secret_ownership(spark):
     assert out[9]["spans"] == "assign:0:18" and out[9]["base_sha256"] == digest([(0, 0, "assign", 18)])
 
 
+def test_values_in_many_repositories_are_examples(spark):
+    live, copied = "Zx9Kq2Lm7Vb4Nc8Rt5Yw1", "Qa3Ws5Ed7Rf9Tg1Yh2Uj4"
+    rows = [(i, f"see {copied}" + (f" and {live}" if i < secrets.EXAMPLE_REPOS - 1 else ""), "en", "ab"[i % 2]) for i in range(secrets.EXAMPLE_REPOS)]
+    out = {r["doc_id"]: r for r in by_id(secrets.digest_rows(secrets.find_secrets(docs_table(spark, rows))))}
+    assert (out[0]["spans"], out[0]["n_live"], out[0]["n_example"]) == ("token:30:51", 1, 1)
+    assert (out[secrets.EXAMPLE_REPOS - 1]["spans"], out[secrets.EXAMPLE_REPOS - 1]["n_example"]) == ("", 1)
+
+
+def test_randomness_is_judged_over_the_whole_token():
+    rng = random.Random(6)
+    mixed = "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(300))
+    assert [s[2] for s in secrets.random_spans("A" * 256 + mixed, [])] == ["token"]
+    assert secrets.random_spans(mixed[:256] + "A" * 3000, []) == []
+
+
 # Personal data
 
 

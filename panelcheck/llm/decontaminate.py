@@ -5,8 +5,8 @@ are found by counting the item terms over the whole corpus.  The index stores th
 training document.  A posting at position p of a term with offset k in the item votes for the diagonal p - k; the offset-adjusted lists
 of a window intersect where all its rarest terms vote for one diagonal.  What is left is compared word by word with the document.
 
-Proximity matches come from the same postings: all rarest terms of a window within ``slop`` words of their places,
-but not in place.
+Proximity matches come from the same postings: every word of a window lies on one of ``slop`` + 1 diagonals in a row, but no diagonal of
+them holds the whole window.  The rarest terms nominate cells of diagonals, and all words are then compared with the document.
 
 DataFrame operations only.  The item table is broadcast while it is small (checked), and joined by shuffles beyond that;
 postings never are.
@@ -114,16 +114,16 @@ def full(votes: Column, want: Column) -> Column:
     return F.filter(F.array_distinct(votes), lambda s: F.size(F.filter(votes, lambda v: v == s)) == want[s])
 
 
-def near_items(met: DataFrame, want: DataFrame, slop: int) -> DataFrame:
-    """(key, n_near_items): items of which some window has all its rarest terms on diagonals at most ``slop`` apart, but not on one.
+def near_cells(met: DataFrame, want: DataFrame, slop: int) -> DataFrame:
+    """(key, item, cell, starts): windows whose rarest terms all vote for diagonals of the cell.
 
-    Diagonals go to two overlapping grids, so that any two so close share a cell; a cell counts each place's best vote once.
+    Cell c has the 2 * (slop + 1) diagonals from c * (slop + 1) on, so that any slop + 1 diagonals in a row lie in one cell.
     """
-    grid = F.array(F.struct(F.lit(0).alias("g"), F.floor(F.col("diagonal") / (slop + 1)).alias("c")), F.struct(F.lit(1).alias("g"), F.floor((F.col("diagonal") + (slop + 1) // 2) / (slop + 1)).alias("c")))
-    cells = met.select("key", "item", "votes", F.explode(grid).alias("cell")).groupBy("key", "item", "cell").agg(F.collect_list("votes").alias("lists"))
-    close = cells.filter(F.size("lists") > 1).join(want, "item")
-    together = close.filter(F.size(full(F.flatten("lists"), F.col("want"))) > 0)
-    return together.groupBy("key").agg(F.countDistinct("item").alias("n_near_items"))
+    low = F.floor(F.col("diagonal") / (slop + 1)).cast("int")
+    each = met.select("key", "item", "votes", F.explode(F.array(low - 1, low)).alias("cell"))
+    votes = each.groupBy("key", "item", "cell").agg(F.flatten(F.collect_list("votes")).alias("votes"))
+    enough = F.filter(F.array_distinct("votes"), lambda s: F.size(F.filter("votes", lambda v: v == s)) >= F.col("want")[s])
+    return votes.join(want, "item").select("key", "item", "cell", enough.alias("starts")).filter(F.size("starts") > 0)
 
 
 def decontaminate(
@@ -154,24 +154,37 @@ def compared(source: DataFrame, items: DataFrame, item_id: str, item_text: str,
     want = wanted_votes(anchor)
 
     joined = met.join(want, "item").select("key", "item", "diagonal", full(F.col("votes"), F.col("want")).alias("starts"))
-    candidates = joined.filter(F.size("starts") > 0).join(items.select("item", "item_id", "item_words", "len"), "item")
-    per_doc = candidates.groupBy("key").agg(F.collect_list(F.struct("item_id", "item_words", "len", "diagonal", "starts")).alias("found"))
+    candidates = joined.filter(F.size("starts") > 0).withColumn("near", F.lit(False))
+    if slop is not None:
+        cells = near_cells(met, want, slop).withColumn("diagonal", F.col("cell") * (slop + 1)).withColumn("near", F.lit(True))
+        candidates = candidates.unionByName(cells.select(candidates.columns))
+    candidates = candidates.join(items.select("item", "item_id", "item_words", "len"), "item")
+    fields = F.struct("item", "item_id", "item_words", "len", "diagonal", "starts")
+    lists = [F.collect_list(F.when(F.col("near") == k, fields)).alias(name) for k, name in ((False, "found"), (True, "close"))]
+    per_doc = candidates.groupBy("key").agg(*lists)
 
     def exact(c: Column) -> Column:
         place = lambda s: s + c["diagonal"]
         same = lambda s: F.when(place(s) >= 0, F.slice("w", F.greatest(place(s), F.lit(0)) + 1, c["len"]) == F.slice(c["item_words"], s + 1, c["len"])).otherwise(False)
         return F.transform(F.filter(c["starts"], same), lambda s: F.struct(c["item_id"].alias("item_id"), place(s).alias("first"), c["len"].alias("words")))
 
+    def near(c: Column) -> Column:
+        """Whether some window of the candidate has all its words on slop + 1 diagonals in a row, none of which has it whole."""
+
+        def at(s: Column, low: Column) -> Column:
+            here = lambda k: F.slice("w", F.greatest(low + s + k, F.lit(0)) + 1, F.greatest(F.least(low + s + k, F.lit(0)) + slop + 1, F.lit(0)))
+            every = F.forall(F.sequence(F.lit(0), c["len"] - 1), lambda k: F.array_contains(here(k), F.get(c["item_words"], s + k)))
+            whole = lambda d: (d + s >= 0) & (F.slice("w", F.greatest(d + s, F.lit(0)) + 1, c["len"]) == F.slice(c["item_words"], s + 1, c["len"]))
+            return F.when(every, ~F.exists(F.sequence(low, low + slop), whole)).otherwise(False)
+
+        return F.exists(c["starts"], lambda s: F.exists(F.sequence(c["diagonal"], c["diagonal"] + slop + 1), lambda low: at(s, low)))
+
+    n_near = F.lit(0) if slop is None else F.size(F.array_distinct(F.transform(F.filter("close", near), lambda c: c["item"])))
     read = source.join(per_doc.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key"), "left").withColumn("w", words(F.col("body")))
-    matched = read.select("id", "key", F.size("w").alias("n_words"), F.when(F.col("found").isNotNull(), F.flatten(F.transform("found", exact))).alias("spans"))
+    matched = read.select("id", "key", F.size("w").alias("n_words"), F.when(F.col("found").isNotNull(), F.flatten(F.transform("found", exact))).alias("spans"), n_near.alias("n_near_items"))
     hit = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["first"] + s["words"] - 1))))
     ids = F.array_sort(F.array_distinct(F.filter(F.transform("spans", lambda s: s["item_id"]), lambda i: i.isNotNull())))
-    counted = matched.select("id", "key", "n_words", F.coalesce(F.size(hit), F.lit(0)).alias("n_hit"), F.coalesce(ids, F.array().cast("array<string>")).alias("ids"), "spans")
-    near = []
-    if slop is not None:
-        close = near_items(met, want, slop).withColumnRenamed("key", "_key")
-        counted = counted.join(close, F.col("key") == F.col("_key"), "left")
-        near = [F.coalesce("n_near_items", F.lit(0)).cast("bigint").alias("n_near_items")]
+    counted = matched.select("id", "key", "n_words", F.coalesce(F.size(hit), F.lit(0)).alias("n_hit"), F.coalesce(ids, F.array().cast("array<string>")).alias("ids"), "spans", "n_near_items")
     return counted.select(
         "key",
         "id",
@@ -181,7 +194,7 @@ def compared(source: DataFrame, items: DataFrame, item_id: str, item_text: str,
         F.sha2(F.concat_ws(",", "ids"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
         "spans",
-        *near,
+        *([] if slop is None else [F.greatest(F.coalesce("n_near_items", F.lit(0)), F.lit(0)).cast("bigint").alias("n_near_items")]),
     )
 
 

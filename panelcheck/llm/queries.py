@@ -17,6 +17,7 @@ QUERIES = {
     "op2_secret_scan": lambda spark, d: secrets.digest_rows(secrets.find_secrets(table(spark, d, "documents"))),
     "op3_language_id": lambda spark, d: language.identify(table(spark, d, "documents")),
     "op4_decontaminate": lambda spark, d: decontaminate.decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark"), slop=None).drop("spans"),
+    "op4_proximity": lambda spark, d: decontaminate.decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark")).drop("spans"),
     "op5_token_counts": lambda spark, d: tokens.count_tokens(table(spark, d, "documents")),
     "op6_pii": lambda spark, d: pii.find_pii(table(spark, d, "documents")),
     "op7_line_cleaning": lambda spark, d: quality.clean_lines(table(spark, d, "documents"), with_text=False),

@@ -136,6 +136,40 @@ def test_proximity_matches(spark):
     assert (out[1]["n_near_items"], out[2]["n_near_items"], out[3]["n_near_items"]) == (0, 1, 0)
 
 
+def plain_near(text, item, slop, size=10):
+    """Whether some window of the item has every word on slop + 1 diagonals in a row, but is whole on none of them."""
+    w, v = text.lower().split(), item.lower().split()
+    n = min(size, len(v))
+    for s in range(len(v) - n + 1):
+        for low in range(-len(v), len(w)):
+            put = lambda k, d: 0 <= d + k < len(w) and w[d + k] == v[k]
+            near = range(low, low + slop + 1)
+            if all(any(put(k, d) for d in near) for k in range(s, s + n)) and not any(all(put(k, d) for k in range(s, s + n)) for d in near):
+                return True
+    return False
+
+
+def test_registered_proximity_equals_brute_force(spark, tmp_path):
+    from panelcheck.llm.queries import QUERIES
+
+    rng = random.Random(14)
+    items = [(i, " ".join(f"q{i}x{rng.randrange(30)}" for _ in range(n))) for i, n in enumerate([12, 10, 6, 15, 2])]
+    docs = []
+    for i, text in items[:4]:
+        w = text.split()
+        for gap in range(decontaminate.SLOP + 3):
+            for at in range(1, len(w), 2):
+                docs.append(" ".join(["pre"] * (len(docs) % 9) + w[:at] + ["x"] * gap + w[at:]))
+        docs += [" ".join(w[:4] + ["lost"] + w[5:]), " ".join([w[1], w[0], *w[2:]]), " ".join([w[0], w[-1]]), " ".join(w[2:])]
+        docs += [" ".join(w[rng.randrange(len(w))] for _ in range(40)) for _ in range(8)]
+    rows = [(i, t, "en", "a") for i, t in enumerate(docs)]
+    docs_table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, t, 1, "b") for i, t in items], ITEMS).write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["doc_id"]: r["n_near_items"] for r in QUERIES["op4_proximity"](spark, str(tmp_path)).collect()}
+    want = {i: sum(plain_near(t, item, decontaminate.SLOP) for _, item in items) for i, t in enumerate(docs)}
+    assert got == want and sum(want.values()) > 60
+
+
 # Pages
 
 

@@ -157,7 +157,7 @@ def node_of(h: np.ndarray) -> int | None:
 
 
 def group_counts(h: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((mix(h) >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS), 65535).astype(np.uint16)
+    return np.bincount((mix(h) >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.uint32)
 
 
 def _texts(df: DataFrame, keep: list[str], fn, schema: str) -> DataFrame:
@@ -284,7 +284,7 @@ def points(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def leaves(nodes: DataFrame) -> DataFrame:
     """Packs the nodes of each block into leaves: all nodes sorted by block, size and coordinates, cut into runs of LEAF nodes."""
-    key = nodes.select("block", "n", F.substring("counts", 1, 16).alias("head"), "node")
+    key = nodes.select("block", "n", F.substring("counts", 1, 32).alias("head"), "node")
     number = in_order(key, ["block", "n", "head", "node"], "jaccard-order").select(
         F.col("node").alias("_node"), F.floor(F.col("rank") / LEAF).cast("bigint").alias("leaf")
     )
@@ -296,7 +296,7 @@ def leaf_pairs(packed: DataFrame) -> DataFrame:
 
     def bounding_box(t: pa.Table) -> pa.Table:
         n = t.column("n").to_numpy()
-        top = np.max([np.frombuffer(x, np.uint16) for x in t.column("counts").to_pylist()], axis=0)
+        top = np.max([np.frombuffer(x, np.uint32) for x in t.column("counts").to_pylist()], axis=0)
         row = {"block": t.column("block")[:1], "leaf": t.column("leaf")[:1], "least": [int(n.min())], "most": [int(n.max())]}
         return pa.table(row | {"top": pa.array([top.tolist()], pa.list_(pa.int32()))})
 
@@ -323,7 +323,7 @@ def leaf_links(packed: DataFrame, pairs: DataFrame) -> DataFrame:
         side, node = t.column("side").to_numpy(), t.column("node").to_numpy()
         sets = Sets(
             t.column("n").to_numpy(),
-            np.stack([np.frombuffer(x, np.uint16) for x in t.column("counts").to_pylist()]).astype(np.int32),
+            np.stack([np.frombuffer(x, np.uint32) for x in t.column("counts").to_pylist()]).astype(np.int64),
             [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()],
         )
         first, second = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
@@ -339,8 +339,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = written(document_sets(source), "jaccard-sets")
     first = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
-    hub = F.min("node").over(W.partitionBy("cell"))
-    stars = cells(source).withColumn("hub", hub).filter("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    members = written(cells(source), "jaccard-cells")
+    hubs = members.groupBy("cell").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub <> other").drop("other")
+    stars = members.join(hubs, "cell").filter("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     blocks = components(stars, "jaccard-blocks")
     wanted = first.join(blocks, "node").select("doc_id", "node", F.col("root").alias("block"))
     packed = written(leaves(written(points(source, wanted), "jaccard-points")), "jaccard-leaves")

@@ -71,6 +71,12 @@ def test_every_linked_pair_shares_a_cell_and_passes_the_bound():
             assert np.minimum(jaccard.group_counts(left), jaccard.group_counts(right)).sum() >= need
 
 
+def test_bound_holds_for_very_large_sets():
+    h = np.unique(np.random.default_rng(15).integers(0, 2**63, 70_000 * jaccard.GROUPS, dtype=np.uint64))
+    counts = jaccard.group_counts(h)
+    assert counts.max() > 65_535 and counts.sum(dtype=np.int64) == len(h) >= jaccard.needed_overlap(np.int64(2 * len(h)))
+
+
 def test_shingle_hashes_name_the_same_sets():
     rng = random.Random(10)
     seen = {}

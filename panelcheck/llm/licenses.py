@@ -2,7 +2,7 @@
 
 A paragraph is a line of a document; its features are the distinct word 1-grams and 2-grams that the templates use and ordinary text
 rarely does.  A sparse multinomial logistic regression (L1) learns the families from the templates, from shortened variants of them, and from
-a bounded sample of ordinary paragraphs (``NEGATIVES``; the only sample).  Its probabilities are calibrated on variants that training did not
+a bounded sample of different ordinary paragraphs (``NEGATIVES``; the only sample).  Its probabilities are calibrated on variants that training did not
 see: a paragraph that is licence-like but below the calibrated probability of every family is ``unknown``.  A predicted family counts
 only if the paragraph matches one of its templates; else it is ``unknown`` too.
 
@@ -114,9 +114,12 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 
 def ordinary(docs: DataFrame) -> DataFrame:
-    """A bounded sample of paragraphs without a licence cue: those of the smallest hashes."""
-    lines = paragraphs(docs).filter(~F.col("line").rlike(CUES)).select(F.substring("line", 1, 1000).alias("line"), F.xxhash64("line").alias("h"))
-    return lines.orderBy("h", "line").limit(NEGATIVES).select(F.lit(NONE).alias("family"), words(F.col("line")).alias("w"), (F.col("h") % 3 == 0).alias("held"))
+    """A bounded sample of different paragraphs without a licence cue: those of the smallest hashes.  Hashes are told apart first, so only sampled lines move."""
+    lines = paragraphs(docs).select("line", F.xxhash64("line").alias("h"))
+    plain = ~F.col("line").rlike(CUES)
+    last = lines.filter(plain).select("h").distinct().orderBy("h").limit(NEGATIVES).agg(F.max("h")).first()[0]
+    sample = lines.filter(F.col("h") <= F.lit(last)).filter(plain).distinct().orderBy("h", "line").limit(NEGATIVES)
+    return sample.select(F.lit(NONE).alias("family"), words(F.col("line")).alias("w"), (F.col("h") % 3 == 0).alias("held"))
 
 
 def fit(docs: DataFrame) -> tuple[DataFrame, list[str], list[float], float, list[str]]:
@@ -127,7 +130,8 @@ def fit(docs: DataFrame) -> tuple[DataFrame, list[str], list[float], float, list
 
     spark = docs.sparkSession
     positive, negative = variants(template_rows(spark)), written(ordinary(docs), "licence-negatives")
-    common = negative.select(F.explode(grams(F.col("w"))).alias("gram")).groupBy("gram").count().filter(F.col("count") > COMMON_SHARE * NEGATIVES).select("gram")
+    many = max(1, COMMON_SHARE * negative.count())
+    common = negative.select(F.explode(grams(F.col("w"))).alias("gram")).groupBy("gram").count().filter(F.col("count") > many).select("gram")
     used = template_rows(spark).select(F.explode(grams(F.col("w"))).alias("gram")).distinct().join(common, "gram", "left_anti")
     vocabulary = sorted(r["gram"] for r in used.collect())  # n-grams of the templates at most
     names = sorted(TEMPLATES) + [NONE]

@@ -278,6 +278,15 @@ def test_license_families(spark):
     assert licenses.scan_licenses(docs_table(spark, [])).collect() == []
 
 
+def test_repeated_lines_count_once_in_the_licence_sample(spark):
+    long = "z " * 600 + "end"
+    different = [f"ordinary line {i} of the town" for i in range(60)] + [long]
+    docs = [(1, "\n".join(["the same boilerplate for this page"] * 5000)), (2, "\n".join(different))]
+    sample = [tuple(r["w"]) for r in licenses.ordinary(spark.createDataFrame(docs, "key bigint, body string")).collect()]
+    assert len(sample) == len(set(sample)) == 62 and tuple(long.split()) in sample
+    assert licenses.ordinary(spark.createDataFrame([], "key bigint, body string")).collect() == []
+
+
 @pytest.mark.parametrize("operator", [jaccard.jaccard_components, mixing.mix, jaccard.one_of_each_group])
 def test_empty_and_extra_columns(spark, operator):
     assert operator(spark.createDataFrame([], DOCS)).collect() == []

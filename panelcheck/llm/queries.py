@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelcheck.llm import decontaminate, html, jaccard, language, licenses, mixing, pii, quality, secrets, tokens
+from panelcheck.llm import chat, decontaminate, divergence, html, jaccard, language, licenses, mixing, pii, quality, secrets, tokens, whitening
 from panelcheck.llm.common import table
 
 # A-Z only, like the operators.
@@ -24,6 +24,9 @@ QUERIES = {
     "op8_temperature_mix": lambda spark, d: mixing.mix(table(spark, d, "documents")),
     "op9_ngram_jaccard": lambda spark, d: jaccard.jaccard_components(table(spark, d, "documents")),
     "op10_license_scan": lambda spark, d: licenses.scan_licenses(table(spark, d, "documents")),
+    "op11_chat_examples": lambda spark, d: chat.read_back(chat.expand(chat.with_hostile(spark, table(spark, d, "conversations")))),
+    "op12_source_divergence": lambda spark, d: divergence.source_divergence(table(spark, d, "documents")),
+    "op13_embedding_whitening": lambda spark, d: whitening.whiten(table(spark, d, "embeddings")),
 }
 ORACLES: dict[str, str] = {
     "op4_decontaminate": f"""
@@ -88,5 +91,42 @@ c AS (SELECT DISTINCT node AS node, node AS top FROM g UNION SELECT e.b, c.top F
 m AS (SELECT node, min(top) AS top FROM c GROUP BY node)
 SELECT n.doc_id, n.n AS n_shingles, coalesce(m.top, n.doc_id) AS component_id
 FROM n LEFT JOIN g ON g.doc_id = n.doc_id LEFT JOIN m ON m.node = g.node
+""",
+    "op11_chat_examples": r"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'
+),
+e AS (
+    SELECT *, length(regexp_replace(regexp_replace(regexp_replace(replace(concat(role, chr(0), text), '\', '\\'), '(<)(/?s>)', '\1\\\2', 'g'), '(\[)(/?(?:ROLE|INST)\])', '\1\\\2', 'g'), '(<)(</?SYS>>)', '\1\\\2', 'g'))
+        - 1 + length('<s>[ROLE][/ROLE]</s>') AS size FROM t
+),
+s AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS stop, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place, count(*) OVER (PARTITION BY conv_id) AS n FROM e)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(stop) FILTER (role = 'assistant' OR place = n) AS BIGINT) AS formatted_chars
+FROM s GROUP BY conv_id
+""",
+    "op12_source_divergence": f"""
+WITH d AS (SELECT row_number() OVER () AS r, {LOWER.replace("text", "coalesce(text, '')")} AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM w GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING sum(docs) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY ALL),
+a AS (SELECT g.lang, g.source, k.term, k.n AS n_lang, coalesce(c.n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (
+    SELECT lang, source, term, a.n, 1 + CAST(1000000000 AS HUGEINT) * (a.n + 1) // (sum(a.n) OVER (PARTITION BY lang, source) + v.v) AS p,
+        1 + CAST(1000000000 AS HUGEINT) * (a.n_lang + 1) // (v.n + v.v) AS q
+    FROM a JOIN v USING (lang)
+),
+f AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+o AS (
+    SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+    FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source
+    UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE n > 0 AND p > q
+)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM o) WHERE part = 'pair' OR rank <= 200
 """,
 }

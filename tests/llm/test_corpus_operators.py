@@ -188,7 +188,7 @@ def test_lines_of_markup():
     assert html.lines_of(None) == [] and html.lines_of("a < b & c") == [("a < b & c", html.PLAIN)]
 
 
-def test_longest_common_subsequence_has_the_right_length():
+def test_longest_common_subsequence_has_the_right_length(monkeypatch):
     rng = random.Random(12)
     for _ in range(400):
         a, b = ([rng.randrange(5) for _ in range(rng.randrange(12))] for _ in range(2))
@@ -196,8 +196,52 @@ def test_longest_common_subsequence_has_the_right_length():
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
-        shared = html.common_lines(np.array(a, np.int64), np.array(b, np.int64))
-        assert shared.sum() == best[-1][-1]
+        for bits in (html.DIRECT, 16):  # one table, and cut in two again and again
+            monkeypatch.setattr(html, "DIRECT", bits)
+            shared = html.common_lines(np.array(a, np.int64), np.array(b, np.int64))
+            assert shared.sum() == best[-1][-1]
+            rest = iter(b)
+            assert all(x in rest for x, s in zip(a, shared, strict=True) if s)
+        monkeypatch.undo()
+
+
+def test_long_pages_are_aligned_in_time():
+    import time
+
+    rng = random.Random(21)
+    a, b = (np.array([0 if rng.random() < 0.5 else s * (i + 1) for i in range(100_000)]) for s in (1, -1))
+    began = time.time()
+    assert html.common_lines(a, b).sum() == min((a == 0).sum(), (b == 0).sum())
+    assert html.common_lines(np.zeros(100_000, np.int64), np.zeros(90_000, np.int64)).sum() == 90_000
+    assert len(html.lines_of("<li>" * 50_000 + "</b>" * 50_000 + "<p><b>x" * 50_000)) == 50_000
+    assert time.time() - began < 10
+
+
+def test_end_tags_that_are_left_out():
+    chrome = lambda page: [t for t, p in html.lines_of(page) if p == html.IN_CHROME]
+    assert chrome('<p class="notice">Ad<p>Main text') == ["Ad"]
+    assert chrome('<ul><li class="share">a<li>b<ul><li>c</ul><li class="ad">d</ul>e') == ["a", "d"]
+    assert chrome('<table><tr><td class="sidebar">x<td>y<tr><th>z</table>') == ["x"]
+    assert chrome('<dl><dt class="ad">x<dd>y<dt>z</dl><div class="sidebar"><p>u</div>v') == ["x", "u"]
+
+
+def test_class_words_are_whole_and_reach_the_main_part_only_where_plain():
+    main = lambda page: [t for t, p in html.lines_of(page) if p == html.IN_MAIN]
+    for name in ("social-science", "search-algorithms", "legal-history", "related-works-cited"):
+        assert main(f'<main class="{name}">t</main>') == main(f'<main><div id="{name}">t</div></main>') == ["t"]
+    assert main('<main><div class="search">t</div><p>u</main>') == ["t", "u"]
+    for name in ("comments", "ad-slot-3", "share-buttons", "related-list", "cookie-notice"):
+        assert main(f'<main><div class="x {name}">t</div><p>u</main>') == ["u"]
+
+
+def test_quotes_stay_until_most_pages_of_the_host_have_them(spark):
+    def page(i):
+        quote = "<p>A passage that fifty quote.</p>" if 100 <= i < 150 else ""
+        return f"<body><main><h1>Story {i}</h1>{quote}<p>Only here {i}.</p><div>Read next</div></main></body>"
+
+    rows = [(i, f"http://a.org/x/{i:03d}", page(i)) for i in range(300)]
+    out = {r["page_id"]: r["text"] for r in html.extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert out == {i: f"Story {i}" + (" A passage that fifty quote." if 100 <= i < 150 else "") + f" Only here {i}." for i in range(300)}
 
 
 def test_template_goes_without_named_parts(spark):

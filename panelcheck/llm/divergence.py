@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from panelcheck.llm.common import written
 
-SLICE = 16 << 20  # bytes of text that one sort takes
+SLICE = 12 << 20  # bytes of text that one sort takes
 SMALL = 8192  # pointers that one sort by key finishes
 MIN_DOCS = 3
 TOP_TERMS = 200
@@ -58,9 +58,10 @@ class Pointers:
         first[at] |= inside[at]
         last = inside.copy()
         last[:-1] &= first[1:] | ~inside[1:]
-        self.start = np.flatnonzero(first)
-        self.size = np.flatnonzero(last) + 1 - self.start
-        self.doc = np.searchsorted(borders, self.start, side="right") - 1
+        kind = np.int32 if len(folded) < 1 << 31 else np.int64
+        self.start = np.flatnonzero(first).astype(kind)
+        self.size = np.flatnonzero(last).astype(kind) + kind(1) - self.start
+        self.doc = (np.searchsorted(borders, self.start, side="right") - 1).astype(kind)
         self.bytes = np.concatenate([folded, np.zeros(8, np.uint8)])
         self._eight = np.ndarray((len(folded) + 1,), ">u8", self.bytes, strides=(1,))
 
@@ -76,7 +77,7 @@ class Pointers:
     def sorted_runs(self) -> tuple[np.ndarray, np.ndarray]:
         """Pointers in the order of their terms, and the number of the run of equal terms that each is in."""
         n = len(self.start)
-        order, begins = np.arange(n), np.zeros(n, bool)
+        order, begins = np.arange(n, dtype=self.start.dtype), np.zeros(n, bool)
         key = self.keys(order, 0)
         parts, short = [(0, n, 0)] if n else [], []  # a term that eight zero bytes end is over
         while parts:
@@ -109,15 +110,17 @@ class Pointers:
         """Parts that are in order by their present eight bytes: all equal stretches go on together, eight bytes a round."""
         if not short:
             return
-        lo, hi, depth = (np.array(x) for x in zip(*short, strict=True))
-        place = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())
-        deep, part = np.repeat(depth, hi - lo), np.repeat(np.arange(len(lo)), hi - lo)
+        lo, hi, depth = (np.array(x, order.dtype) for x in zip(*short, strict=True))
+        by = np.argsort(lo)
+        lo, hi, depth = lo[by], hi[by], depth[by]
+        place = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]).astype(order.dtype), hi - lo) + np.arange((hi - lo).sum(), dtype=order.dtype)
+        deep, part = np.repeat(depth, hi - lo), np.repeat(np.arange(len(lo), dtype=order.dtype), hi - lo)
         while place.size:
             k = key[place]
             new = np.ones(len(place), bool)
             new[1:] = (k[1:] != k[:-1]) | (part[1:] != part[:-1])
             begins[place[new]] = True
-            part = np.cumsum(new) - 1
+            part = np.cumsum(new, dtype=order.dtype) - order.dtype.type(1)
             go = ((k & np.uint64(255)) != 0) & (np.bincount(part)[part] > 1)
             place, part, deep = place[go], part[go], deep[go] + 8
             if not place.size:

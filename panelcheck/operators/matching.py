@@ -1,25 +1,29 @@
 """Matching of predicted boxes to reviewed boxes, and the metrics on top.
 
-Candidate pairs come from grid cells, so boxes far apart never meet.  The
-greedy rule lets reviewed boxes choose in order.  Small groups are settled by a
-fold inside one row; a group with more than ``FOLD_LIMIT`` candidate pairs is
-settled by rounds of joins with the same result.
+Candidate pairs come from grid cells, so boxes far apart never meet.  The greedy rule lets reviewed boxes choose in order: the
+candidates of a group are sorted by chooser and pass one by one, and a task keeps only the targets taken so far.  A crowded group is cut
+first where nothing overlaps the cut, so that its separate parts are settled by different tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from panelcheck import fixed_values as V
 from panelcheck.functions.boxes import box, inside_ratio, iou
 from panelcheck.functions.joins import cells, literal_rows
-from panelcheck.sources.files import written_parquet
 
 GROUP = ["task_id", "label"]
 CELL = 25.0
-FOLD_LIMIT = 512
+CROWD = 1024  # boxes of a group from which it is cut into parts; the choice is the same either way
+STEP = 0.5  # possible cuts, in the unit of the boxes
 
 
 def _in_cells(df: DataFrame, w: str, h: str, size: float) -> DataFrame:
@@ -37,68 +41,77 @@ def overlapping_pairs(a: DataFrame, b: DataFrame, threshold: float, size: float
     )
     left = rename(_in_cells(a.select(*columns), "width", "height", size), "a_")
     right = rename(_in_cells(b.select(*columns), "width", "height", size), "b_")
-    corner = F.struct(
-        F.floor(F.greatest("a_x", "b_x") / size).alias("cx"), F.floor(F.greatest("a_y", "b_y") / size).alias("cy")
-    )
+    at = lambda c: F.floor(F.greatest("a_" + c, "b_" + c) / size)
     score = iou(box("a_", "width", "height"), box("b_", "width", "height"))
     return (
         left.join(right, [*GROUP, "cell"])
-        .filter(F.col("cell") == corner)
+        .filter((F.col("cell.cx") == at("x")) & (F.col("cell.cy") == at("y")))
         .withColumn("iou", score)
         .filter(F.col("iou") >= threshold)
         .select(*GROUP, F.col("a_box_id").alias("a_id"), F.col("b_box_id").alias("b_id"), "iou")
     )
 
 
-def _fold(edges: DataFrame) -> DataFrame:
-    """Serial choice inside each small group: ``chooser`` in order takes its best free ``target``."""
-    offers = edges.groupBy(*GROUP, "chooser").agg(
-        F.sort_array(F.collect_list(F.struct("rank", "target", "iou"))).alias("offers")
-    )
-    groups = offers.groupBy(*GROUP).agg(F.sort_array(F.collect_list(F.struct("chooser", "offers"))).alias("choosers"))
-    none = F.array().cast("array<struct<chooser:bigint,target:bigint,iou:double>>")
-
-    def take(done: Column, c: Column) -> Column:
-        used = F.transform(done, lambda d: d["target"])
-        best = F.get(F.filter(c["offers"], lambda o: ~F.array_contains(used, o["target"])), 0)
-        pick = F.struct(c["chooser"].cast("bigint").alias("chooser"), best["target"].cast("bigint").alias("target"), best["iou"].alias("iou"))
-        return F.when(best.isNull(), done).otherwise(F.concat(done, F.array(pick)))
-
-    return groups.select(*GROUP, F.inline(F.aggregate("choosers", none, take)))
-
-
-def _rounds(edges: DataFrame) -> DataFrame:
-    """Serial choice by rounds: a chooser is settled once nobody before it can still want its best target."""
-    spark, done, left = edges.sparkSession, None, edges
-    while True:
-        best = left.groupBy(*GROUP, "chooser").agg(F.min(F.struct("rank", "target", "iou")).alias("o"))
-        first = left.groupBy(*GROUP, "target").agg(F.min("chooser").alias("first"))
-        settled = (
-            best.select(*GROUP, "chooser", F.col("o.target").alias("target"), F.col("o.iou").alias("iou"))
-            .join(first, [*GROUP, "target"])
-            .filter("chooser = first")
-            .drop("first")
-        )
-        settled = written_parquet(spark, settled.select(*GROUP, "chooser", "target", "iou"), "settled")
-        done = settled if done is None else done.unionByName(settled)
-        left = left.join(settled.select(*GROUP, "chooser"), [*GROUP, "chooser"], "left_anti").join(
-            settled.select(*GROUP, "target"), [*GROUP, "target"], "left_anti"
-        )
-        left = written_parquet(spark, left, "unsettled")
-        if left.isEmpty():
-            return done
-
-
-def serial_choice(edges: DataFrame, limit: int = FOLD_LIMIT) -> DataFrame:
-    """``edges``: task_id, label, chooser, target, iou, rank (lower is better, unique per chooser)."""
-    # read by the size check and by the choice itself
-    edges = written_parquet(edges.sparkSession, edges, "edges")
-    sizes = edges.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.filter(F.col("_n") > limit).select(*GROUP)
-    if large.isEmpty():
-        return _fold(edges)
-    small = _fold(edges.join(large, GROUP, "left_anti"))
-    return small.unionByName(_rounds(edges.join(large, GROUP, "left_semi")).select(*small.columns))
+def _cut_at(boxes: DataFrame, keys: list[str], start: str, size: str, part: str) -> DataFrame:
+    """(keys, cut, part): numbers the stretches along one axis that no box reaches across.  ``cut`` is the step in which a box starts."""
+    cuts = boxes.groupBy(*keys, F.floor(F.col(start) / STEP).alias("cut")).agg(F.max(F.col(start) + F.col(size)).alias("end"))
+    along = W.partitionBy(*keys).orderBy("cut")
+    reached = F.max("end").over(along.rowsBetween(W.unboundedPreceding, -1))
+    marked = cuts.select(*keys, "cut", F.when(reached > F.col("cut") * STEP, 0).otherwise(1).alias("new"))
+    return marked.select(*keys, "cut", F.sum("new").over(along).alias(part))
+
+
+def parts_of_crowds(choosers: DataFrame, targets: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(task_id, label, chooser, part_x, part_y) of the choosers in crowded groups; boxes of different parts do not overlap.
+
+    Boxes are reduced to one row per step before a group is gone through in order.
+    """
+    columns = [*GROUP, "box_id", "x", "y", "width", "height"]
+    boxes = choosers.select(*columns, F.lit(True).alias("chooses")).unionByName(targets.select(*columns, F.lit(False).alias("chooses")))
+    crowded = boxes.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select(*GROUP)
+    inside = boxes.join(crowded, GROUP, "left_semi")
+    for start, size, keys, part in (("x", "width", GROUP, "part_x"), ("y", "height", [*GROUP, "part_x"], "part_y")):
+        cuts = _cut_at(inside, keys, start, size, part)
+        inside = inside.withColumn("cut", F.floor(F.col(start) / STEP)).join(cuts, [*keys, "cut"]).drop("cut")
+    return inside.filter("chooses").select(*GROUP, F.col("box_id").alias("chooser"), "part_x", "part_y")
+
+
+def serial_choice(edges: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """``edges``: task_id, label, chooser, target, iou, rank (lower is better, unique per chooser); ``parts``: see parts_of_crowds.
+
+    Choosers in order take their best free target.
+    """
+    keys = [*GROUP, "part_x", "part_y"]
+    cut = edges.join(parts, [*GROUP, "chooser"], "left") if parts is not None else edges.withColumns({k: F.lit(None).cast("bigint") for k in keys[2:]})
+    ordered = cut.repartition(*keys).sortWithinPartitions(*keys, "chooser", "rank").select(*keys, "chooser", "target", "iou")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = chooser = None
+        taken: set = set()
+        served = False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # rows of one chooser stand together: stretches without a change in any key
+            ends = np.unique(np.concatenate([pc.run_end_encode(batch.column(k)).run_ends.to_numpy() for k in (*keys, "chooser")])).tolist()
+            targets, chosen, lo = batch.column("target").to_pylist(), [], 0
+            for hi in ends:
+                g, c = tuple(batch.column(k)[lo].as_py() for k in keys), batch.column("chooser")[lo].as_py()
+                if g != group:
+                    group, chooser, taken, served = g, c, set(), False
+                elif c != chooser:
+                    chooser, served = c, False
+                if not served:
+                    i = next((i for i in range(lo, hi) if targets[i] not in taken), None)
+                    if i is not None:
+                        taken.add(targets[i])
+                        served = True
+                        chosen.append(i)
+                lo = hi
+            yield batch.take(pa.array(chosen, pa.int64())).select([*GROUP, "chooser", "target", "iou"])
+
+    out = ordered.select(*GROUP, "chooser", "target", "iou")
+    return ordered.mapInArrow(choose, out.schema)
 
 
 def match_regions(truth: DataFrame, predictions: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -108,7 +121,7 @@ def match_regions(truth: DataFrame, predictions: DataFrame, threshold: float = 0
         *GROUP, F.col("a_id").alias("chooser"), F.col("b_id").alias("target"), "iou",
         F.struct((-F.col("iou")).alias("i"), (-F.col("b_id")).alias("b")).alias("rank"),
     )
-    return serial_choice(edges).select(*GROUP, F.col("chooser").alias("truth_id"), F.col("target").alias("prediction_id"), "iou")
+    return serial_choice(edges, parts_of_crowds(truth, predictions)).select(*GROUP, F.col("chooser").alias("truth_id"), F.col("target").alias("prediction_id"), "iou")
 
 
 def outcomes(truth: DataFrame, predictions: DataFrame, matches: DataFrame) -> DataFrame:
@@ -172,6 +185,13 @@ def near_duplicates(regions: DataFrame, threshold: float = 0.98) -> DataFrame:
     return across.unionByName(same)
 
 
+def near_duplicate_members(regions: DataFrame) -> DataFrame:
+    """The box that stands for each box in ``near_duplicates``: of equal boxes the one with the smallest id."""
+    shape = [*GROUP, "x", "y", "width", "height"]
+    first = regions.groupBy(*shape).agg(F.min("box_id").alias("stands_for"))
+    return regions.join(first, shape).select(*GROUP, "box_id", "stands_for")
+
+
 # ------------------------------------------------------------------ recognition coverage
 
 
@@ -259,7 +279,7 @@ def calibrate_candidates(candidates: DataFrame, truth: DataFrame, labels: list[s
         *GROUP, F.col("a_id").alias("chooser"), F.col("b_id").alias("target"), "iou",
         F.struct((-F.col("iou")).alias("i"), F.col("b_id").alias("b")).alias("rank"),
     )
-    tp = serial_choice(edges).groupBy("label").agg(F.count(F.lit(1)).alias("tp"))
+    tp = serial_choice(edges, parts_of_crowds(candidates, kept)).groupBy("label").agg(F.count(F.lit(1)).alias("tp"))
     made = candidates.groupBy("label").agg(F.count(F.lit(1)).alias("made"))
     known = kept.groupBy("label").agg(F.count(F.lit(1)).alias("known"))
     listed = literal_rows(truth.sparkSession, sorted(labels), "label")

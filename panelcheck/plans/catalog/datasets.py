@@ -33,9 +33,29 @@ def crowd(f):
     )
 
 
+view("crowd", (), """SELECT l_orderkey // 4 AS task_id, src, l_orderkey % 4 * 10 + l_linenumber AS box_id, 'mrp' AS label,
+ 10.0e0 + l_linenumber * 6 + l_orderkey % 4 * 2 + CASE WHEN src = 'prediction' THEN p % 5 ELSE 0 END AS x, 20.0e0 + (l_orderkey % 4) * 3 AS y, 20.0e0 AS width, 12.0e0 AS height
+ FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY ALL) l CROSS JOIN (VALUES ('truth'), ('prediction')) s(src)""")
+# overlap of the boxes a and b
+_INTER = "greatest(0.0e0, least(a.x + a.width, b.x + b.width) - greatest(a.x, b.x)) * greatest(0.0e0, least(a.y + a.height, b.y + b.height) - greatest(a.y, b.y))"
+# the choice itself, chooser by chooser: ``used`` are the targets taken so far
+_CHOICE = """, e AS (SELECT a.task_id, a.label, a.box_id AS chooser, b.box_id AS target, {inter} / (a.width * a.height + b.width * b.height - {inter}) AS iou
+  FROM crowd a JOIN crowd b ON a.task_id = b.task_id AND a.label = b.label WHERE a.src = '{chooser}' AND b.src = '{target}'),
+ o AS (SELECT *, row_number() OVER (PARTITION BY task_id, label ORDER BY chooser) AS k
+  FROM (SELECT task_id, label, chooser, list(struct_pack(target := target, iou := iou) ORDER BY iou DESC, target {ties}) AS offers FROM e WHERE iou >= 0.5e0 GROUP BY ALL) g),
+ c AS (SELECT task_id, label, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS chooser, CAST([] AS BIGINT[]) AS used, CAST(NULL AS STRUCT(target BIGINT, iou DOUBLE)) AS pick FROM o GROUP BY ALL
+  UNION ALL SELECT task_id, label, k, chooser, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick.target) END, pick
+  FROM (SELECT o.task_id, o.label, o.k, o.chooser, c.used, list_filter(o.offers, lambda x: NOT list_contains(c.used, x.target))[1] AS pick
+   FROM c JOIN o ON o.task_id = c.task_id AND o.label = c.label AND o.k = c.k + 1) q)
+"""
+
+
+def with_choice(chooser: str, target: str, ties: str) -> str:
+    return with_views("crowd").replace("WITH", "WITH RECURSIVE", 1) + _CHOICE.format(inter=_INTER, chooser=chooser, target=target, ties=ties)
+
+
 view("truth", ("boxes",), "SELECT * FROM boxes WHERE src = 'truth'")
 view("pred", ("boxes",), "SELECT * FROM boxes WHERE src = 'prediction'")
-_INTER = "greatest(0.0e0, least(a.x + a.width, b.x + b.width) - greatest(a.x, b.x)) * greatest(0.0e0, least(a.y + a.height, b.y + b.height) - greatest(a.y, b.y))"
 view("pairs", ("truth", "pred"), f"""SELECT a.task_id, a.label, a.box_id AS truth_id, b.box_id AS prediction_id, {_INTER} AS i,
  a.width * a.height + b.width * b.height AS s, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y, a.width AS aw, a.height AS ah, b.width AS bw, b.height AS bh
  FROM truth a JOIN pred b ON a.task_id = b.task_id AND a.label = b.label""")
@@ -228,6 +248,16 @@ def _(f):
     return M.near_duplicates(rows, 0.5)
 
 
+@query(
+    "g8_near_duplicate_members",
+    with_views("dup_boxes") + "SELECT task_id, label, box_id, min(box_id) OVER (PARTITION BY task_id, label, x, y, width, height) AS stands_for FROM dup_boxes",
+)
+def _(f):
+    t = F.col("task_id")
+    rows = truth(f).select(F.floor(t / 8).alias("task_id"), "label", (t % 8 * 10 + F.col("box_id")).alias("box_id"), (F.floor(F.col("x") / 4) * 4).cast("double").alias("x"), "y", "width", "height")
+    return M.near_duplicate_members(rows)
+
+
 # one box per task and label on each side, so a match is a pair at or above the threshold
 view("matched", ("pairs",), "SELECT task_id, label, truth_id, prediction_id, i / (s - i) AS iou FROM pairs WHERE i / (s - i) >= 0.7e0")
 view("outcome", ("truth", "pred", "matched"), """SELECT t.task_id, t.label, CASE WHEN m.truth_id IS NULL THEN 'fn' ELSE 'tp' END AS outcome
@@ -240,10 +270,10 @@ def _(f):
     return M.match_regions(truth(f), predictions(f), 0.7).withColumn("iou", F.round("iou", 6))
 
 
-@query("g9_match_regions_crowded")
+@query("g9_match_regions_crowded", with_choice("truth", "prediction", "DESC") + "SELECT task_id, label, chooser AS truth_id, pick.target AS prediction_id, round(pick.iou, 6) AS iou FROM c WHERE pick IS NOT NULL")
 def _(f):
     rows = crowd(f)
-    return M.match_regions(rows.filter("src = 'truth'"), rows.filter("src = 'prediction'"), 0.5)
+    return M.match_regions(rows.filter("src = 'truth'"), rows.filter("src = 'prediction'"), 0.5).withColumn("iou", F.round("iou", 6))
 
 
 def outcomes(f):
@@ -402,7 +432,14 @@ def _(f):
     return D.pseudo_label_summary(D.pseudo_label_candidates(f.ocr_lines()), kept_proposals(f), f.base("part"))
 
 
-@query("g18_calibrate_candidates")
+@query(
+    "g18_calibrate_candidates",
+    with_choice("prediction", "truth", "ASC")
+    + """, n AS (SELECT l.label, (SELECT count(*) FROM c WHERE pick IS NOT NULL AND c.label = l.label) AS tp, (SELECT count(*) FROM crowd WHERE src = 'prediction' AND crowd.label = l.label) AS made,
+  (SELECT count(*) FROM crowd WHERE src = 'truth' AND crowd.label = l.label) AS known FROM (SELECT unnest(['mrp', 'net_quantity']) AS label) l)
+ SELECT label, tp, made - tp AS fp, known - tp AS fn, round(CASE WHEN made > 0 THEN tp / made ELSE 0.0e0 END, 4) AS precision, round(CASE WHEN known > 0 THEN tp / known ELSE 0.0e0 END, 4) AS recall,
+ coalesce(made > 0 AND tp / made >= 0.85e0 AND tp >= 3, FALSE) AS eligible FROM n""",
+)
 def _(f):
     rows = crowd(f)
     return M.calibrate_candidates(rows.filter("src = 'prediction'"), rows.filter("src = 'truth'"), ["mrp", "net_quantity"])

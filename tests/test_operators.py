@@ -169,7 +169,14 @@ def _iou(a, b):
     return i / (a[2] * a[3] + b[2] * b[3] - i)
 
 
-def test_greedy_matching_by_fold_and_by_rounds(spark):
+BOXES = "task_id long, src string, box_id long, label string, x double, y double, width double, height double"
+
+
+def _matched(df):
+    return sorted((r.task_id, r.truth_id, r.prediction_id) for r in df.collect())
+
+
+def test_greedy_matching(spark):
     rng = random.Random(3)
     rows, want = [], []
     for task in range(12):
@@ -178,15 +185,30 @@ def test_greedy_matching_by_fold_and_by_rounds(spark):
         pred = [(i, mk()) for i in range(rng.randint(1, 9))]
         rows += [(task, "t", i, "mrp", *b) for i, b in truth] + [(task, "p", i, "mrp", *b) for i, b in pred]
         want += [(task, *m) for m in greedy(truth, pred, 0.5)]
-    df = spark.createDataFrame(rows, "task_id long, src string, box_id long, label string, x double, y double, width double, height double")
+    df = spark.createDataFrame(rows, BOXES)
+    t, p = df.filter("src = 't'").drop("src"), df.filter("src = 'p'").drop("src")
+    assert _matched(M.match_regions(t, p, 0.5)) == sorted(want)
+    assert M.match_regions(t.limit(0), p, 0.5).collect() == M.match_regions(t, p.limit(0), 0.5).collect() == []
+
+
+def test_crowds_are_cut_where_nothing_overlaps(spark):
+    rng = random.Random(4)
+    mk = lambda: (rng.randint(0, 40) * 25.0 + rng.randint(0, 5), rng.randint(0, 8) * 15.0 + rng.randint(0, 3), 20.0, 10.0)
+    truth, pred = [(i, mk()) for i in range(700)], [(i, mk()) for i in range(700)]
+    df = spark.createDataFrame([(1, s, i, "mrp", *b) for s, side in (("t", truth), ("p", pred)) for i, b in side], BOXES)
     t, p = df.filter("src = 't'").drop("src"), df.filter("src = 'p'").drop("src")
-    key = lambda d: sorted((r.task_id, r.truth_id, r.prediction_id) for r in d.collect())
-    assert key(M.match_regions(t, p, 0.5)) == sorted(want)
-    pairs = M.overlapping_pairs(t, p, 0.5)
-    edges = pairs.select("task_id", "label", F.col("a_id").alias("chooser"), F.col("b_id").alias("target"), "iou",
-                         F.struct((-F.col("iou")).alias("i"), (-F.col("b_id")).alias("b")).alias("rank"))
-    rounds = M.serial_choice(edges, limit=0).select("task_id", F.col("chooser").alias("truth_id"), F.col("target").alias("prediction_id"))
-    assert key(rounds) == sorted(want)
+    parts = M.parts_of_crowds(t, p).collect()
+    assert len(parts) == 700 and len({(r.part_x, r.part_y) for r in parts}) > 300
+    assert _matched(M.match_regions(t, p, 0.5)) == sorted((1, *m) for m in greedy(truth, pred, 0.5))
+    assert M.parts_of_crowds(t, p, 1400).collect() == []
+
+
+def test_five_thousand_boxes_on_one_spot(spark):
+    """All overlap all, so 25 million candidates in one group; box k of one side lies on box k of the other."""
+    one = spark.range(5000).select(F.lit(1).alias("task_id"), F.lit("mrp").alias("label"), F.col("id").alias("box_id"), (10 + F.col("id") / 5000).alias("x"),
+                                   F.lit(5.0).alias("y"), F.lit(10.0).alias("width"), F.lit(5.0).alias("height"))
+    found = M.match_regions(one, one, 0.5).agg(F.count("*").alias("n"), F.count_if(F.col("truth_id") == F.col("prediction_id")).alias("same")).first()
+    assert (found.n, found.same) == (5000, 5000)
 
 
 def test_hot_pile_of_equal_boxes(spark):

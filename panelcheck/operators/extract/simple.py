@@ -34,9 +34,8 @@ def on(condition: Column, value: Column) -> Column:
     return F.when(condition, value)
 
 
-def mrp_direct() -> LineExtractor:
+def mrp_direct(where: tuple[str, ...] = ("next1_text", "prev_text", "next2_text")) -> LineExtractor:
     """A price right behind its header; the tax phrase may be on this, the next, the previous or the second next line."""
-    where = ("next1_text", "prev_text", "next2_text")
     return LineExtractor(
         [
             lambda: {"mrp_price": F.replace(group1(T(), V.MRP_DIRECT), F.lit(","), F.lit(".")).cast("double")},
@@ -326,28 +325,30 @@ def name_before_net() -> LineExtractor:
     )
 
 
-def headlines(lines: DataFrame, group: str = "source_image_id", keys: list[str] | None = None, dense: bool = False) -> DataFrame:
+def headlines(lines: DataFrame, group: str = "source_image_id", keys: list[str] | None = None, placed: bool = False) -> DataFrame:
     """A name put together from up to four title fragments of the first ten lines by position.
 
-    Ten lines bound what a group collects.
+    Ten lines bound what a group collects.  ``placed``: dense lines whose place in their group, from 1, is a column.
     """
     keys = keys or [group]
-    lines = lines if dense else dense_lines(lines, group)
-    first = lines.groupBy(group).agg(F.min("line_number").alias("_start"))
-    top = lines.join(first, group).filter(F.col("line_number") < F.col("_start") + 10)
-    pieces = top.select(
-        *keys, "line_number", "confidence", *BOX, F.posexplode(F.split("text", r"\r\n|[\n\r\u000b\u000c\u0085  ]")).alias("pos", "raw")
-    )
-    token = strip(F.regexp_replace(F.regexp_replace(strip(F.col("raw")), rx(V.NAME_TRIM_MARK), ""), rx(V.NAME_PROMOTION), ""))
+    if placed:
+        top = lines.filter("place <= 10")
+    else:
+        lines = dense_lines(lines, group)
+        first = lines.groupBy(group).agg(F.min("line_number").alias("_start"))
+        top = lines.join(first, group).filter(F.col("line_number") < F.col("_start") + 10)
+    tidy = lambda raw: strip(F.regexp_replace(F.regexp_replace(strip(raw), rx(V.NAME_TRIM_MARK), ""), rx(V.NAME_PROMOTION), ""))
+    # tidied inside the generator: a filter on its output does not tidy again for each of its conditions
+    split = F.split("text", r"\r\n|[\n\r\u000b\u000c\u0085  ]")
+    pieces = top.select(*keys, "line_number", "confidence", *BOX, F.posexplode(F.transform(split, tidy)).alias("pos", "token"))
     t = F.col("token")
     low = F.lower(t)
     good = (
-        (F.length(t) > 2) & (F.length(t) <= 60)
+        (F.length(t) > 2) & (F.length(t) <= 60) & t.rlike(r"[A-Za-z]{3,}")
         & ~contains_any(low, V.NAME_OTHER_FIELDS) & ~contains_any(low, V.NAME_MARKETING)
         & ~any_of([has(t, p) for p in (V.NAME_INSTRUCTION, V.NAME_BUSINESS, V.NAME_PRICE_OR_DATE)])
-        & t.rlike(r"[A-Za-z]{3,}")
     )
-    kept = pieces.withColumn("token", token).filter(good).withColumn("token", case_map(F.upper("token"), V.NAME_MISREAD, F.col("token")))
+    kept = pieces.filter(good).withColumn("token", case_map(F.upper("token"), V.NAME_MISREAD, F.col("token")))
     is_brand = lambda e: F.upper(e["token"]).isin(*V.NAME_BRANDS)
     listed = kept.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("line_number", "pos", "token", "confidence", *BOX))).alias("all")

@@ -49,7 +49,7 @@ def requests(f):
     )
     nested = f.images().groupBy(F.col("inspection_id").alias("id")).agg(
         F.transform(F.sort_array(F.collect_list(image)), lambda e: e.dropFields("k")).alias("images"))
-    rows = f.inspections().filter("id % 3 = 0").join(nested, "id")
+    rows = f.inspections().join(nested, "id")
     return rows.select(
         F.col("id").alias("request_seq"), F.col("officer_id").cast("string").alias("officer_id"), "client_id", "commodity_category", "captured_offline",
         "created_at", "is_self_check", "region", "images",
@@ -57,7 +57,7 @@ def requests(f):
 
 
 view("sent", ("images",), """SELECT inspection_id AS request_seq, row_number() OVER (PARTITION BY inspection_id ORDER BY id) - 1 AS pos, concat('i', id % 10) AS cid, image_role, id,
- id % 8 <> 5 AS valid FROM images WHERE inspection_id % 3 = 0""")
+ id % 8 <> 5 AS valid FROM images""")
 
 
 @query(
@@ -325,14 +325,15 @@ def _(f):
     return SY.queue_health(states, ["device"])
 
 
-# one batch of requests against what is stored already
-view("stored", ("inspections",), "SELECT id, officer_id, client_id, status FROM inspections WHERE id % 3 = 1")
+# a request for every inspection against as many stored ones, of which a third has the keys that are sent
+view("stored", ("inspections",), "SELECT id, officer_id, CASE WHEN id % 3 = 1 THEN client_id ELSE concat('old-', client_id) END AS client_id, status FROM inspections")
 
 
 def sync_batch(f):
-    stored = f.inspections().filter("id % 3 = 1").select(
-        F.col("id").cast("string").alias("id"), F.col("officer_id").cast("string").alias("officer_id"), "client_id", "status")
-    images = f.images().filter("inspection_id % 3 = 1").select(
+    stored = f.inspections().select(
+        F.col("id").cast("string").alias("id"), F.col("officer_id").cast("string").alias("officer_id"),
+        F.when(F.col("id") % 3 == 1, F.col("client_id")).otherwise(F.concat(F.lit("old-"), "client_id")).alias("client_id"), "status")
+    images = f.images().select(
         F.col("inspection_id").cast("string").alias("inspection_id"), F.concat(F.lit("i"), (F.col("id") % 10).cast("string")).alias("client_id"))
     return SY.apply_sync(requests(f), stored, images, f.users(), F.lit("2026.02.01"), now())
 
@@ -342,7 +343,7 @@ def sync_batch(f):
     with_views("inspections", "stored")
     + """, known AS (SELECT officer_id, client_id, arg_min(status, CAST(id AS VARCHAR)) AS status FROM stored GROUP BY 1, 2)
  SELECT r.id AS request_seq, r.client_id, CASE WHEN k.status = 'completed' THEN 'conflict' WHEN k.status IS NULL THEN 'created' ELSE 'reused' END AS outcome,
- coalesce(k.status, 'sync_pending') AS status FROM inspections r LEFT JOIN known k ON k.officer_id = r.officer_id AND k.client_id = r.client_id WHERE r.id % 3 = 0""",
+ coalesce(k.status, 'sync_pending') AS status FROM inspections r LEFT JOIN known k ON k.officer_id = r.officer_id AND k.client_id = r.client_id""",
 )
 def _(f):
     return sync_batch(f)["results"].select("request_seq", "client_id", "outcome", "status")
@@ -353,11 +354,12 @@ def _(f):
     with_views("inspections", "stored", "sent", "images")
     + """, known AS (SELECT officer_id, client_id, arg_min(status, CAST(id AS VARCHAR)) AS status, min(CAST(id AS VARCHAR)) AS kid FROM stored GROUP BY 1, 2),
  r AS (SELECT i.id AS request_seq, coalesce(k.kid, concat(i.officer_id, '|', i.client_id)) AS iid, k.kid, k.status FROM inspections i
-  LEFT JOIN known k ON k.officer_id = i.officer_id AND k.client_id = i.client_id WHERE i.id % 3 = 0),
+  LEFT JOIN known k ON k.officer_id = i.officer_id AND k.client_id = i.client_id),
+ m AS (SELECT DISTINCT CAST(inspection_id AS VARCHAR) AS kid, concat('i', id % 10) AS cid, TRUE AS known FROM images),
  s AS (SELECT sent.*, r.iid, r.kid, row_number() OVER (PARTITION BY r.iid, cid, valid ORDER BY sent.request_seq, pos) AS rn FROM sent JOIN r ON r.request_seq = sent.request_seq
   WHERE coalesce(r.status, '') <> 'completed')
  SELECT request_seq, count(*) FILTER (WHERE new) AS images_synced, count(*) FILTER (WHERE NOT new) AS images_skipped
- FROM (SELECT *, valid AND rn = 1 AND NOT coalesce(cid IN (SELECT concat('i', m.id % 10) FROM images m WHERE CAST(m.inspection_id AS VARCHAR) = s.kid), FALSE) AS new FROM s) q GROUP BY 1""",
+ FROM (SELECT s.*, valid AND rn = 1 AND m.known IS NULL AS new FROM s LEFT JOIN m ON m.kid = s.kid AND m.cid = s.cid) q GROUP BY 1""",
 )
 def _(f):
     return sync_batch(f)["results"].filter("outcome <> 'conflict'").select("request_seq", "images_synced", "images_skipped")

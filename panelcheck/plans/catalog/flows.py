@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from panelcheck.plans.catalog.analytics import summary_sql
 from panelcheck.plans.catalog.listings import reports
 from panelcheck.plans.catalog.registry import query
 from panelcheck.plans.catalog.views import view, with_views
@@ -9,6 +10,7 @@ from panelcheck.schemas import TABLES
 from panelcheck.sources import files as FI
 from panelcheck.sources import tables as TB
 from panelcheck.streaming import monitor as MO
+from panelcheck.streaming import summary as SU
 from panelcheck.streaming import sync as SY
 
 NOW = "2026-03-01 10:00:00"
@@ -388,3 +390,25 @@ def _(f):
     created = F.col("created_at").cast("timestamp")
     synced = F.timestamp_seconds(F.unix_timestamp(created) + F.col("id") % 5 * 40000)
     return SY.late_counts(f.inspections().select(created.alias("created_at"), synced.alias("synced_at")))
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@query("t12_summary_stream", with_views("inspections", "violations", "audit_logs", "enforced", "vcount") + summary_sql())
+def _(f):
+    """All tables as changes in several batches: every inspection comes as a draft, then as it is; violations come before and after it."""
+    folder = FI.new_folder(f.spark, "summary")
+    drafts = f.inspections().withColumn("status", F.lit("draft"))
+    rows = SU.changes_of(drafts, f.violations(), f.audit_logs()).unionByName(SU.changes_of(f.inspections(), seq=1))
+    rows.repartition(6).write.parquet(f"{folder}/in")
+    stream = f.spark.readStream.schema(SU.CHANGES).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    last = {}
+    before = f.spark.conf.get(STATE_STORE)
+    f.spark.conf.set(STATE_STORE, ROCKS)
+    try:
+        SU.incremental_summary(stream, folder, lambda df, batch: last.update(df=df, batch=batch), interval=None).awaitTermination()
+    finally:
+        f.spark.conf.set(STATE_STORE, before)
+    return last["df"]

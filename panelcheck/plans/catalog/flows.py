@@ -40,6 +40,41 @@ def _(f):
     return t["inspections"].join(people, "officer_id").select("id", "officer_id", "status", "is_self_check", "created_at", "full_name")
 
 
+def _nine(f):
+    """The nine domain tables of the fixture."""
+    batches = f.inspections().filter("batch_id IS NOT NULL").groupBy(F.col("batch_id").alias("id")).agg(F.min("officer_id").alias("officer_id"), F.min("created_at").alias("created_at"))
+    return {
+        "users": f.users(), "batch_sessions": batches, "inspections": f.inspections(), "inspection_images": f.images(), "extracted_fields": f.extracted_fields(),
+        "violations": f.violations(), "reports": reports(f), "audit_logs": f.audit_logs(), "rule_packs": f.rule_packs(),
+    }
+
+
+@query(
+    "s1_load_all_tables",
+    with_views("users", "inspections", "images", "extracted_fields", "violations", "audit_logs")
+    + " UNION ALL ".join(
+        f"""SELECT '{name}' AS "table", count(*) AS rows, count(DISTINCT id) AS ids, CAST(sum(CAST(('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 8)) AS BIGINT)) AS BIGINT) AS id_sum FROM {source}"""
+        for name, source in (
+            ("users", "users"), ("batch_sessions", "(SELECT DISTINCT batch_id AS id FROM inspections WHERE batch_id IS NOT NULL)"), ("inspections", "inspections"), ("inspection_images", "images"),
+            ("extracted_fields", "extracted_fields"), ("violations", "violations"), ("reports", "(SELECT id * 2 AS id FROM inspections WHERE status = 'completed')"), ("audit_logs", "audit_logs"),
+            ("rule_packs", "(SELECT '2026.02.01' AS id)"),
+        )
+    ),
+)
+def _(f):
+    """Every table written and loaded again: its rows and what its ids add up to."""
+    folder = FI.new_folder(f.spark, "all-tables")
+    for name, df in _nine(f).items():
+        _typed(df, name).write.parquet(f"{folder}/{name}")
+    out = None
+    for name, df in TB.load_tables(f.spark, folder).items():
+        key = "version" if name == "rule_packs" else "id"
+        of_id = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
+        row = df.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(key).alias("ids"), F.sum(of_id).alias("id_sum")).select(F.lit(name).alias("table"), "rows", "ids", "id_sum")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def requests(f):
     """Sync requests made from inspections and their images; client ids repeat."""
     i = F.col("id")

@@ -98,6 +98,15 @@ def inspection_counters(inspections: DataFrame) -> DataFrame:
     return domain_counters(rows, ["overall_verdict", "commodity_category", "is_self_check"])
 
 
+def _across(runs: DataFrame, keys: list[str], size: int, larger: int, shift: int) -> DataFrame:
+    """Runs that reach a border of their piece (``size`` minutes) are joined to those that go on across it, inside larger pieces."""
+    reaches = (F.pmod("first", F.lit(size)) == 0) | (F.pmod("last", F.lit(size)) == size - 1)
+    placed = runs.withColumn("open", reaches).withColumn("piece", F.when(F.col("open"), F.floor((F.col("first") + shift) / larger)).otherwise(F.floor(F.col("first") / size)))
+    order = W.partitionBy(*keys, "open", "piece").orderBy("first")
+    linked = placed.withColumn("fresh", F.coalesce(F.col("first") != F.lag("last").over(order) + 1, F.lit(True)).cast("int"))
+    return linked.withColumn("run", F.sum("fresh").over(order)).groupBy(*keys, "open", "piece", "run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("open", "piece", "run")
+
+
 def sustained(alerts: DataFrame, minutes: int, keys: list[str] | None = None) -> DataFrame:
     """Runs of consecutive firing minutes that last long enough.
 
@@ -114,13 +123,12 @@ def sustained(alerts: DataFrame, minutes: int, keys: list[str] | None = None) ->
         .groupBy(*keys, F.floor(F.col("minute") / 1440).alias("day"), "island")
         .agg(F.min("minute").alias("first"), F.max("minute").alias("last"))
     )
-    # at most a few hundred runs a day are left to chain
-    order = W.partitionBy(*keys).orderBy("first") if keys else W.partitionBy(F.lit(1)).orderBy("first")
-    linked = runs.withColumn("fresh", F.coalesce(F.col("first") != F.lag("last").over(order) + 1, F.lit(True)).cast("int"))
-    chained = linked.withColumn("run", F.sum("fresh").over(order))
+    runs = runs.select(*keys, "first", "last")
+    # a run that reaches no border of its piece is whole; the others, at most two a piece, meet in the next larger pieces
+    # days, 1024 days, and all minutes that a timestamp can have
+    for size, larger, shift in ((1440, 1440 << 10, 0), (1440 << 10, 1440 << 24, 1440 << 23)):
+        runs = _across(runs, keys, size, larger, shift)
     return (
-        chained.groupBy(*keys, "run")
-        .agg(F.min("first").alias("first"), F.max("last").alias("last"))
-        .filter(F.col("last") - F.col("first") >= minutes)
+        runs.filter(F.col("last") - F.col("first") >= minutes)
         .select(*keys, F.timestamp_seconds(F.col("first") * 60).alias("started_at"), F.timestamp_seconds(F.col("last") * 60).alias("ended_at"))
     )

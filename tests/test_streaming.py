@@ -150,3 +150,23 @@ def test_incremental_summary_equals_recomputation_after_every_batch(spark, fx, p
         SU.incremental_summary(stream, str(place), lambda df, batch: seen.update({batch: df.first().asDict()}), interval=None).awaitTermination()
         assert seen[max(seen)] == analytics_summary(*tables).first().asDict()
     assert len(seen) == len(steps)
+
+
+def test_sustained_runs_cross_midnight_and_larger_borders(spark):
+    import random
+
+    rng = random.Random(5)
+    big = 1440 << 10
+    minutes = set(range(1430, 1450)) | set(range(2 * big - 4000, 2 * big + 3000)) | set(range(-10, 4)) | {1439 + 1440 * 9} | {rng.randrange(20 * 1440) for _ in range(8000)}
+    rows = [(k, dt.datetime.fromtimestamp(m * 60, dt.timezone.utc), m in minutes) for k in ("a", "b") for m in sorted(minutes | {5000, 5001})]
+    df = spark.createDataFrame(rows, "name string, window_start timestamp, firing boolean")
+    want, begun, last = [], None, None
+    for m in [*sorted(minutes), None]:
+        if last is not None and m != last + 1:
+            want += [(begun, last)] if last - begun >= 3 else []
+            begun = m
+        begun, last = m if begun is None else begun, m
+    at = lambda c: (F.unix_timestamp(c) / 60).cast("bigint")
+    plain = sorted(tuple(r) for r in MO.sustained(df.filter("name = 'a'"), 3).select(at("started_at"), at("ended_at")).collect())
+    keyed = sorted(tuple(r) for r in MO.sustained(df, 3, ["name"]).select("name", at("started_at"), at("ended_at")).collect())
+    assert plain == want and keyed == [(k, *w) for k in "ab" for w in want]

@@ -72,10 +72,11 @@ def term_counts(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def anchors(items: DataFrame, counts: DataFrame, rarest: int) -> DataFrame:
-    """(term, item, off, starts): the places of items that some window has among its rarest terms, with those windows' starts.
+    """(term, item, off, votes): the places of items that some window has among its rarest terms, with a vote for each of those windows.
 
     A window takes ``rarest`` places of different terms where it has so many.
-    A term that the corpus lacks rules its windows out.
+    A term that the corpus lacks rules its windows out.  A vote is the number
+    start * (rarest + 1) + places, so that it says how many of its kind make the window complete.
     """
     placed = items.select("item", "len", "n_windows", F.posexplode("item_words").alias("off", "term"))
     known = placed.join(small(counts), "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -83,8 +84,9 @@ def anchors(items: DataFrame, counts: DataFrame, rarest: int) -> DataFrame:
     each = known.withColumn("start", F.explode(starts)).groupBy("item", "start", "term").agg(F.min("n").alias("n"), F.min("off").alias("off"))
     window = W.partitionBy("item", "start")
     ranked = each.withColumn("rank", F.row_number().over(window.orderBy("n", "term"))).withColumn("least", F.min("n").over(window))
-    taken = ranked.filter((F.col("rank") <= rarest) & (F.col("least") > 0))
-    return taken.groupBy("term", "item", "off").agg(F.collect_list("start").alias("starts"))
+    taken = ranked.filter((F.col("rank") <= rarest) & (F.col("least") > 0)).withColumn("places", F.count(F.lit(1)).over(window))
+    vote = (F.col("start") * (rarest + 1) + F.col("places")).cast("int")
+    return taken.groupBy("term", "item", "off").agg(F.collect_list(vote).alias("votes"))
 
 
 def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -93,37 +95,35 @@ def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return written(postings, "postings")
 
 
-def diagonals(index: DataFrame, anchor: DataFrame) -> DataFrame:
-    """(key, item, diagonal, starts): each window start as often as a term of it votes for the diagonal."""
-    by_term = anchor.groupBy("term").agg(F.collect_list(F.struct("item", "off", "starts")).alias("places"))
-    votes = F.flatten(
-        F.transform("places", lambda p: F.transform("at", lambda x: F.struct(p["item"].alias("item"), (x - p["off"]).alias("diagonal"), p["starts"].alias("starts"))))
-    )
-    met = index.join(small(by_term, anchor.count()), "term").select("key", F.explode(votes).alias("v")).select("key", "v.*")
-    return met.groupBy("key", "item", "diagonal").agg(F.flatten(F.collect_list("starts")).alias("votes"))
-
-
-def wanted_votes(anchor: DataFrame) -> DataFrame:
-    """(item, want): for each window start, the number of its places."""
-    each = anchor.select("item", F.explode("starts").alias("start")).groupBy("item", "start").agg(F.count(F.lit(1)).alias("want"))
-    return each.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("start", "want"))).alias("want"))
-
-
-def full(votes: Column, want: Column) -> Column:
-    """The starts with as many votes as they have places."""
-    return F.filter(F.array_distinct(votes), lambda s: F.size(F.filter(votes, lambda v: v == s)) == want[s])
+def candidates(index: DataFrame, anchor: DataFrame, rarest: int, slop: int | None) -> DataFrame:
+    """(key, item, near, diagonal, starts): windows whose rarest terms all vote for the diagonal, or (``near``) for the
+    cell of 2 * (slop + 1) diagonals from it on.  Any slop + 1 diagonals in a row lie in one cell.
 
+    Votes move once, by document and item; diagonals and cells are counted where they arrive.
+    """
+    by_term = anchor.groupBy("term").agg(F.collect_list(F.struct("item", "off", "votes")).alias("places"))
+    cast = F.flatten(
+        F.transform("places", lambda p: F.transform("at", lambda x: F.struct(p["item"].alias("item"), (x - p["off"]).alias("diagonal"), p["votes"].alias("votes"))))
+    )
+    met = index.join(small(by_term, anchor.count()), "term").select("key", F.explode(cast).alias("v")).select("key", "v.*").repartition("key", "item")
+    place = lambda near, first: F.struct(F.lit(near).alias("near"), first.cast("int").alias("first"))
+    places = [place(False, F.col("diagonal"))]
+    if slop is not None:
+        step = slop + 1
+        low = F.floor(F.col("diagonal") / step) * step
+        places += [place(True, low - step), place(True, low)]
+    each = met.select("key", "item", "votes", F.inline(F.array(*places))).withColumnRenamed("first", "diagonal")
+    votes = each.groupBy("key", "item", "near", "diagonal").agg(F.sort_array(F.flatten(F.collect_list("votes"))).alias("votes"))
+    return votes.select("key", "item", "near", "diagonal", complete(F.col("votes"), rarest).alias("starts")).filter(F.size("starts") > 0)
 
-def near_cells(met: DataFrame, want: DataFrame, slop: int) -> DataFrame:
-    """(key, item, cell, starts): windows whose rarest terms all vote for diagonals of the cell.
 
-    Cell c has the 2 * (slop + 1) diagonals from c * (slop + 1) on, so that any slop + 1 diagonals in a row lie in one cell.
-    """
-    low = F.floor(F.col("diagonal") / (slop + 1)).cast("int")
-    each = met.select("key", "item", "votes", F.explode(F.array(low - 1, low)).alias("cell"))
-    votes = each.groupBy("key", "item", "cell").agg(F.flatten(F.collect_list("votes")).alias("votes"))
-    enough = F.filter(F.array_distinct("votes"), lambda s: F.size(F.filter("votes", lambda v: v == s)) >= F.col("want")[s])
-    return votes.join(want, "item").select("key", "item", "cell", enough.alias("starts")).filter(F.size("starts") > 0)
+def complete(votes: Column, rarest: int) -> Column:
+    """The starts of windows with as many votes as they have places; ``votes`` are sorted, so equal ones follow one another."""
+    at = lambda i: F.get(votes, i)
+    first = lambda i: F.coalesce(at(i) != at(i - 1), F.lit(True))
+    enough = lambda i: F.coalesce(at(i) == at(i + at(i) % (rarest + 1) - 1), F.lit(False))
+    runs = F.filter(F.sequence(F.lit(0), F.size(votes) - 1), lambda i: first(i) & enough(i))
+    return F.transform(runs, lambda i: F.floor(at(i) / (rarest + 1)).cast("int"))
 
 
 def decontaminate(
@@ -150,26 +150,22 @@ def compared(source: DataFrame, items: DataFrame, item_id: str, item_text: str,
     """The same for documents that have keys."""
     items = written(item_words(items, item_id, item_text, window), "benchmark-items")
     anchor = written(anchors(items, written(term_counts(source, items), "term-counts"), rarest), "anchors")
-    met = written(diagonals(build_index(source, anchor.select("term").distinct()), anchor), "diagonals")
-    want = wanted_votes(anchor)
-
-    joined = met.join(want, "item").select("key", "item", "diagonal", full(F.col("votes"), F.col("want")).alias("starts"))
-    candidates = joined.filter(F.size("starts") > 0).withColumn("near", F.lit(False))
-    if slop is not None:
-        cells = near_cells(met, want, slop).withColumn("diagonal", F.col("cell") * (slop + 1)).withColumn("near", F.lit(True))
-        candidates = candidates.unionByName(cells.select(candidates.columns))
-    candidates = candidates.join(items.select("item", "item_id", "item_words", "len"), "item")
-    fields = F.struct("item", "item_id", "item_words", "len", "diagonal", "starts")
-    lists = [F.collect_list(F.when(F.col("near") == k, fields)).alias(name) for k, name in ((False, "found"), (True, "close"))]
-    per_doc = candidates.groupBy("key").agg(*lists)
+    found = written(candidates(build_index(source, anchor.select("term").distinct()), anchor, rarest, slop), "candidates")
+    # an item's words once for each document that may hold it, however often it does
+    per_item = found.groupBy("key", "item").agg(F.collect_list(F.struct("near", "diagonal", "starts")).alias("places"))
+    named = per_item.join(items.select("item", "item_id", "item_words", "len"), "item")
+    per_doc = named.groupBy("key").agg(F.collect_list(F.struct("item_id", "item_words", "len", "places")).alias("held"))
 
     def exact(c: Column) -> Column:
-        place = lambda s: s + c["diagonal"]
-        same = lambda s: F.when(place(s) >= 0, F.slice("w", F.greatest(place(s), F.lit(0)) + 1, c["len"]) == F.slice(c["item_words"], s + 1, c["len"])).otherwise(False)
-        return F.transform(F.filter(c["starts"], same), lambda s: F.struct(c["item_id"].alias("item_id"), place(s).alias("first"), c["len"].alias("words")))
+        def at(p: Column) -> Column:
+            place = lambda s: s + p["diagonal"]
+            same = lambda s: F.when(place(s) >= 0, F.slice("w", F.greatest(place(s), F.lit(0)) + 1, c["len"]) == F.slice(c["item_words"], s + 1, c["len"])).otherwise(False)
+            return F.transform(F.filter(p["starts"], same), lambda s: F.struct(c["item_id"].alias("item_id"), place(s).alias("first"), c["len"].alias("words")))
+
+        return F.flatten(F.transform(F.filter(c["places"], lambda p: ~p["near"]), at))
 
     def near(c: Column) -> Column:
-        """Whether some window of the candidate has all its words on slop + 1 diagonals in a row, none of which has it whole."""
+        """Whether some window of the item has all its words on slop + 1 diagonals in a row, none of which has it whole."""
 
         def at(s: Column, low: Column) -> Column:
             here = lambda k: F.slice("w", F.greatest(low + s + k, F.lit(0)) + 1, F.greatest(F.least(low + s + k, F.lit(0)) + slop + 1, F.lit(0)))
@@ -177,11 +173,12 @@ def compared(source: DataFrame, items: DataFrame, item_id: str, item_text: str,
             whole = lambda d: (d + s >= 0) & (F.slice("w", F.greatest(d + s, F.lit(0)) + 1, c["len"]) == F.slice(c["item_words"], s + 1, c["len"]))
             return F.when(every, ~F.exists(F.sequence(low, low + slop), whole)).otherwise(False)
 
-        return F.exists(c["starts"], lambda s: F.exists(F.sequence(c["diagonal"], c["diagonal"] + slop + 1), lambda low: at(s, low)))
+        lows = lambda p: F.sequence(p["diagonal"], p["diagonal"] + slop + 1)
+        return F.exists(F.filter(c["places"], lambda p: p["near"]), lambda p: F.exists(p["starts"], lambda s: F.exists(lows(p), lambda low: at(s, low))))
 
-    n_near = F.lit(0) if slop is None else F.size(F.array_distinct(F.transform(F.filter("close", near), lambda c: c["item"])))
+    n_near = F.lit(0) if slop is None else F.size(F.filter("held", near))
     read = source.join(per_doc.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key"), "left").withColumn("w", words(F.col("body")))
-    matched = read.select("id", "key", F.size("w").alias("n_words"), F.when(F.col("found").isNotNull(), F.flatten(F.transform("found", exact))).alias("spans"), n_near.alias("n_near_items"))
+    matched = read.select("id", "key", F.size("w").alias("n_words"), F.flatten(F.transform("held", exact)).alias("spans"), n_near.alias("n_near_items"))
     hit = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["first"] + s["words"] - 1))))
     ids = F.array_sort(F.array_distinct(F.filter(F.transform("spans", lambda s: s["item_id"]), lambda i: i.isNotNull())))
     counted = matched.select("id", "key", "n_words", F.coalesce(F.size(hit), F.lit(0)).alias("n_hit"), F.coalesce(ids, F.array().cast("array<string>")).alias("ids"), "spans", "n_near_items")

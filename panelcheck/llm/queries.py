@@ -16,7 +16,7 @@ QUERIES = {
     "op1_main_text": lambda spark, d: html.extract_main_text(table(spark, d, "pages")),
     "op2_secret_scan": lambda spark, d: secrets.digest_rows(secrets.find_secrets(table(spark, d, "documents"))),
     "op3_language_id": lambda spark, d: language.identify(table(spark, d, "documents")),
-    "op4_decontaminate": lambda spark, d: decontaminate.decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark"), slop=None).drop("spans"),
+    "op4_decontaminate": lambda spark, d: decontaminate.decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark")).drop("spans"),
     "op4_proximity": lambda spark, d: decontaminate.decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark")).drop("spans"),
     "op5_token_counts": lambda spark, d: tokens.count_tokens(table(spark, d, "documents")),
     "op6_pii": lambda spark, d: pii.find_pii(table(spark, d, "documents")),
@@ -41,10 +41,25 @@ q AS (SELECT DISTINCT n FROM x),
 p AS (SELECT doc_id, n, k, array_to_string(w[k:k+n-1], ' ') AS t FROM (SELECT doc_id, w, n, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS k FROM d, q WHERE len(w) >= n)),
 m AS (SELECT p.doc_id, x.item_id, p.k, p.n FROM p JOIN x USING (n, t)),
 h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS pos FROM m) GROUP BY 1),
-s AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY 1)
+s AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY 1),
+-- proximity: all words of a window on four diagonals in a row, none of which has it whole
+j AS (SELECT item_id, w, least(len(w), 10) AS n, row_number() OVER () AS item FROM (SELECT DISTINCT item_id, w FROM i)),
+v AS (
+    SELECT doc_id, item, n, o, k - o AS g FROM (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS k FROM d)
+    JOIN (SELECT item, n, unnest(w) AS t, generate_subscripts(w, 1) AS o FROM j) USING (t)
+),
+y AS (SELECT DISTINCT doc_id, item, n, o, low FROM (SELECT *, g - unnest(range(4)) AS low FROM v) QUALIFY count(*) OVER (PARTITION BY doc_id, item, low) >= n),
+r AS (SELECT doc_id, item, n, low, min(o) AS a, max(o) AS z FROM (SELECT *, o - row_number() OVER (PARTITION BY doc_id, item, low ORDER BY o) AS run FROM y) GROUP BY doc_id, item, n, low, run HAVING count(*) >= n),
+e AS (SELECT doc_id, item, g, min(o) AS a, max(o) AS z FROM (SELECT *, o - row_number() OVER (PARTITION BY doc_id, item, g ORDER BY o) AS run FROM v) GROUP BY doc_id, item, n, g, run HAVING count(*) >= n),
+u AS (SELECT doc_id, item, n, low, unnest(range(a, z - n + 2)) AS start FROM r),
+c AS (
+    SELECT doc_id, count(DISTINCT item) AS n_near FROM u
+    WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.doc_id = u.doc_id AND e.item = u.item AND e.g BETWEEN u.low AND u.low + 3 AND e.a <= u.start AND e.z >= u.start + u.n - 1) GROUP BY 1
+)
 SELECT doc_id, CAST(coalesce(len(d.w), 0) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-    sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN s USING (doc_id)
+    sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+    CAST(coalesce(n_near, 0) AS BIGINT) AS n_near_items
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN s USING (doc_id) LEFT JOIN c USING (doc_id)
 """,
     "op8_temperature_mix": """
 WITH RECURSIVE d AS (
@@ -130,3 +145,4 @@ o AS (
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM o) WHERE part = 'pair' OR rank <= 200
 """,
 }
+ORACLES["op4_proximity"] = ORACLES["op4_decontaminate"]

@@ -171,10 +171,37 @@ def test_registered_proximity_equals_brute_force(spark, tmp_path):
     rows = [(i, t, "en", "a") for i, t in enumerate(docs)]
     docs_table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, t, 1, "b") for i, t in items], ITEMS).write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {r["doc_id"]: r["n_near_items"] for r in QUERIES["op4_proximity"](spark, str(tmp_path)).collect()}
+    out = QUERIES["op4_decontaminate"](spark, str(tmp_path))
+    rows = out.collect()
+    got = {r["doc_id"]: r["n_near_items"] for r in rows}
     want = {i: sum(plain_near(t, item, decontaminate.SLOP) for _, item in items) for i, t in enumerate(docs)}
     assert got == want and sum(want.values()) > 60
 
+    import duckdb
+
+    from panelcheck.llm.queries import ORACLES
+
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    found = con.execute(ORACLES["op4_decontaminate"]).df()
+    assert sorted(found.columns) == sorted(out.columns)
+    assert sorted(tuple(r[c] for c in out.columns) for r in rows) == sorted(found[out.columns].itertuples(index=False, name=None))
+
+
+def test_long_item_and_repeated_passage(spark):
+    """A passage that one document repeats 20,000 times, an item of 5,000 words, empty tables."""
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    long = " ".join(f"w{(i * i) % 7919}x{i % 13}" for i in range(5000))
+    rows = [(1, " ".join([passage] * 20_000), "en", "a"), (2, "intro " + long, "en", "a"), (3, long[:-1], "en", "a"), (4, None, None, None)]
+    bench = spark.createDataFrame([(1, passage, 1, "b"), (2, long, 1, "b")], ITEMS)
+    out = {r["doc_id"]: r for r in decontaminate.decontaminate(docs_table(spark, rows), bench).drop("spans").collect()}
+    assert [out[i]["n_hit"] for i in (1, 2, 3, 4)] == [200_000, 5000, 4999, 0]
+    assert [out[i]["n_items"] for i in (1, 2, 3, 4)] == [1, 1, 1, 0]
+    assert decontaminate.decontaminate(docs_table(spark, []), bench).collect() == []
+    none = decontaminate.decontaminate(docs_table(spark, rows[3:]), spark.createDataFrame([], ITEMS)).collect()
+    assert [(r["n_words"], r["n_hit"], r["n_near_items"], r["contaminated"]) for r in none] == [(0, 0, 0, False)]
+
 
 # Pages
 

@@ -402,6 +402,23 @@ def _(f):
     return sync_batch(f)["results"].filter("outcome <> 'conflict'").select("request_seq", "images_synced", "images_skipped")
 
 
+@query(
+    "t1_sync_target",
+    with_views("inspections", "sent")
+    + """SELECT CAST(i.officer_id AS VARCHAR) AS officer_id, i.client_id, 'sync_pending' AS status, count(DISTINCT s.cid) FILTER (WHERE s.valid) AS images
+ FROM inspections i JOIN sent s ON s.request_seq = i.id GROUP BY 1, 2""",
+)
+def _(f):
+    """The stored inspections and their images after a stream in which every device sends all its requests twice."""
+    folder = FI.new_folder(f.spark, "sync")
+    sent = requests(f).drop("request_seq")
+    sent.unionByName(sent).repartition(3).write.json(f"{folder}/in")
+    target = SY.SyncTarget(f.spark, f"{folder}/out", buckets=8)
+    SY.sync_stream(f.spark, f"{folder}/in", target, f.users(), "2026.02.01", f"{folder}/mark", max_files=2).awaitTermination()
+    per = target.read("images").groupBy(F.col("inspection_id").alias("id")).agg(F.count(F.lit(1)).alias("images"))
+    return target.read("inspections").join(per, "id", "left").select("officer_id", "client_id", "status", F.coalesce("images", F.lit(0).cast("bigint")).alias("images"))
+
+
 @query("t2_dedup_keys", with_views("inspections") + "SELECT DISTINCT CAST(officer_id AS VARCHAR) AS officer_id, client_id FROM inspections")
 def _(f):
     """Keys that a stream of all captures lets through: every capture is sent twice, in several files."""

@@ -100,7 +100,7 @@ def test_dedup_stream(spark, fx, place):
 def test_sync_twice_is_sync_once(spark, fx, place):
     sent = requests(fx).filter("request_seq < 200").drop("request_seq")
     sent.repartition(3).write.json(f"{place}/in")
-    target = SY.SyncTarget(spark, f"{place}/out")
+    target = SY.SyncTarget(spark, f"{place}/out", buckets=4)
 
     def go(source, mark):
         q = SY.sync_stream(spark, source, target, fx.users(), "2026.02.01", f"{place}/{mark}", max_files=1)
@@ -114,11 +114,57 @@ def test_sync_twice_is_sync_once(spark, fx, place):
     sent.repartition(2).write.mode("append").json(f"{place}/in")
     go(f"{place}/in", "c1")
     assert (target.read("inspections").count(), target.read("images").count()) == first
-    results = spark.read.parquet(f"{place}/out/results")
+    results = target.results()
     late = results.filter(F.col("batch_id") >= 3)
     assert late.agg(F.sum("images_synced")).collect()[0][0] == 0 and late.filter("outcome = 'created'").count() == 0
 
 
+NUMBERS = {"rows": ("k string, v bigint", ["k"])}
+
+
+def test_target_reads_only_touched_buckets_and_merges(spark, place):
+    from panelcheck.streaming.target import MERGE, BucketedTarget
+
+    target = BucketedTarget(spark, place, NUMBERS, buckets=3)
+    assert target.stored("rows").collect() == [] and target.latest() is None
+    row = lambda k, v: spark.createDataFrame([(k, v)], "k string, v bigint")
+    for batch in range(MERGE + 3):
+        target.commit(batch, {"rows": row("hot", batch)})
+    touched = target.touched(row("hot", 0), ["k"])
+    assert len(touched) == 1 and len(target.folders("rows", touched)) < MERGE
+    assert sorted(r.v for r in target.stored("rows", touched).collect()) == list(range(MERGE + 3))
+    # other buckets do not add to what a batch of this key opens; a null key and an empty batch count too
+    before = target.folders("rows", touched)
+    target.commit(MERGE + 3, {"rows": spark.createDataFrame([(f"k{i}", i) for i in range(50)] + [(None, 7)], "k string, v bigint").filter(~target.bucket(["k"]).isin(touched))})
+    assert target.folders("rows", touched) == before and target.stored("rows").count() > MERGE + 3
+    target.commit(MERGE + 4, {"rows": row("x", 1).limit(0)})
+    assert target.folders("rows", touched) == before
+    with pytest.raises(ValueError):
+        target.commit(MERGE + 5, {"rows": row("x", 1).withColumn("more", F.lit(1))})
+
+
+def test_failed_batch_leaves_nothing_visible(spark, place):
+    from panelcheck.streaming.target import BucketedTarget
+
+    two = NUMBERS | {"more": ("k string, v bigint", ["k"])}
+    target = BucketedTarget(spark, place, two, buckets=2)
+    good = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v bigint")
+    target.commit(0, {"rows": good})
+    bad = good.withColumn("v", F.raise_error(F.lit("lost")).cast("bigint"))
+    with pytest.raises(Exception, match="lost"):
+        target.commit(1, {"rows": good, "more": bad})
+    assert target.latest() == 0 and sorted(map(tuple, target.stored("rows").collect())) == [("a", 1), ("b", 2)]
+    for _ in range(2):  # the batch again, and once more as a replay
+        target.commit(1, {"rows": good, "more": good})
+        assert target.stored("rows").count() == 4 and target.stored("more").count() == 2
+
+
+def test_clock_of_a_batch_is_kept(spark, place):
+    target = SY.SyncTarget(spark, place)
+    first = target.clock(3)
+    assert target.clock(3) == first and target.clock(4) >= first
+
+
 def test_summary_stream(spark, fx, place):
     rows = fx.inspections().select("id")
     seen = []

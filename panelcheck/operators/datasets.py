@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelcheck import fixed_values as V
@@ -240,37 +241,41 @@ def _words(text: Column) -> Column:
 def block_candidates(declarations: DataFrame, lines: DataFrame) -> DataFrame:
     """Lines that may belong to a declaration: its label's pattern or shared words, and the same orientation.
 
-    ``declarations``: declaration_id, source_image_id, label, raw_text and the anchor box.
+    ``declarations``: declaration_id, source_image_id, label, raw_text and the anchor box.  A declaration meets only the lines of its image that
+    share a key with it: a label whose pattern the line matches, or a word.  ``place`` numbers the lines of an image, also equal ones.
     """
-    d = declarations.select("declaration_id", "source_image_id", "label", "raw_text", *[F.col(c).alias("a_" + c) for c in BOX])
-    matches = F.lit(False)
-    for label, pattern in V.LINE_PATTERNS.items():
-        matches = F.when(F.col("label") == label, F.coalesce(F.col("text").rlike(rx(pattern)), F.lit(False))).otherwise(matches)
-    lw, dw = _words(F.col("text")), _words(F.col("raw_text"))
-    shared = F.size(F.array_intersect(lw, dw))
-    alike = (F.size(lw) > 0) & (F.size(dw) > 0) & (
-        (shared >= F.least(F.lit(2), F.size(lw)))
-        | ((F.size(lw) == 1) & (F.length(F.trim("text")) >= 5) & (shared == 1))
+    wide = (F.col("w") >= F.col("h")).alias("wide")
+    label_key, word_key = (lambda c: F.concat(F.lit("label "), c)), (lambda c: F.concat(F.lit("word "), c))
+    asked = F.array_compact(F.array_append(F.transform(_words(F.col("raw_text")), word_key), label_key(F.col("label"))))
+    d = declarations.select("declaration_id", "source_image_id", *[F.col(c).alias("a_" + c) for c in BOX], wide, F.explode(asked).alias("key"))
+    matched = [F.when(F.col("text").rlike(rx(p)), label_key(F.lit(name))) for name, p in V.LINE_PATTERNS.items()]
+    place = F.row_number().over(W.partitionBy("source_image_id").orderBy("line_number", *BOX, "text", "confidence"))
+    placed = lines.withColumn("place", place).withColumn("n_words", F.size(_words(F.col("text"))))
+    line = F.struct(F.col("place").cast("bigint").alias("place"), F.col("line_number").cast("bigint").alias("line_number"), "text", "confidence", *BOX)
+    has = F.concat(F.transform(_words(F.col("text")), word_key), F.array_compact(F.array(*matched)))
+    keyed = placed.select("source_image_id", wide, "n_words", line.alias("line"), F.explode(has).alias("key"))
+    of_label = F.col("key").startswith("label ")
+    pairs = (
+        d.join(keyed, ["source_image_id", "wide", "key"]).repartition("declaration_id")
+        .groupBy("declaration_id", *["a_" + c for c in BOX], "line", "n_words").agg(F.bool_or(of_label).alias("labelled"), F.count_if(~of_label).alias("shared"))
     )
-    level = (F.col("a_w") >= F.col("a_h")) == (F.col("w") >= F.col("h"))
-    return d.join(lines, "source_image_id").filter(level & (matches | alike))
+    return pairs.filter(F.col("labelled") | (F.col("shared") >= F.least(F.lit(2), F.col("n_words")))).drop("labelled", "shared", "n_words")
 
 
-_LINE = "struct<line_number:bigint,text:string,confidence:double,x:double,y:double,w:double,h:double>"
+_LINE = "struct<place:bigint,line_number:bigint,text:string,confidence:double,x:double,y:double,w:double,h:double>"
 
 
 def connected_lines(declarations: DataFrame, lines: DataFrame) -> DataFrame:
     """The lines of each declaration's block in the order they join it.
 
-    The block repeatedly takes the nearest line within reach of its grown box.
-    That is sequential inside one declaration, over the few lines of its image
-    that match its label, and runs as a fold in the JVM.
+    The block repeatedly takes the nearest line within reach of its grown box, the first by ``place`` of equally near ones.
+    That is sequential inside one declaration, over the lines of its image
+    that match its label or words, and runs as a fold in the JVM.
     """
-    line = F.struct(F.col("line_number").cast("bigint").alias("line_number"), "text", "confidence", *BOX)
     groups = (
         block_candidates(declarations, lines)
         .groupBy("declaration_id", *["a_" + c for c in BOX])
-        .agg(F.sort_array(F.collect_list(line)).alias("lines"))
+        .agg(F.sort_array(F.collect_list("line")).alias("lines"))
     )
     none = F.array().cast(f"array<{_LINE}>")
     start = F.struct(
@@ -284,14 +289,14 @@ def connected_lines(declarations: DataFrame, lines: DataFrame) -> DataFrame:
             dy = F.greatest(s["y"] - (e["y"] + e["h"]), e["y"] - s["b"], F.lit(0.0))
             far = F.hypot(dx, dy)
             ok = (dx <= V.BLOCK_GAP_PX) & (dy <= V.BLOCK_GAP_PX) & (far <= V.BLOCK_DIAGONAL_PX)
-            return F.when(ok, F.struct(far.alias("far"), e["line_number"].alias("n")))
+            return F.when(ok, F.struct(far.alias("far"), e["place"].alias("n")))
 
         at = F.array_min(F.filter(F.transform(s["rest"], reach), lambda e: e.isNotNull()))["n"]
-        taken = F.filter(s["rest"], lambda e: e["line_number"] == at)
+        taken = F.filter(s["rest"], lambda e: e["place"] == at)
         t = F.get(taken, 0)
         grown = F.struct(
             F.least(s["x"], t["x"]).alias("x"), F.least(s["y"], t["y"]).alias("y"), F.greatest(s["r"], t["x"] + t["w"]).alias("r"),
-            F.greatest(s["b"], t["y"] + t["h"]).alias("b"), F.filter(s["rest"], lambda e: e["line_number"] != at).alias("rest"),
+            F.greatest(s["b"], t["y"] + t["h"]).alias("b"), F.filter(s["rest"], lambda e: e["place"] != at).alias("rest"),
             F.concat(s["picked"], taken).alias("picked"),
         )
         return F.when(at.isNull(), s).otherwise(grown)
@@ -299,7 +304,7 @@ def connected_lines(declarations: DataFrame, lines: DataFrame) -> DataFrame:
     picked = F.aggregate(F.sequence(F.lit(1), F.size("lines")), start, grow)["picked"]
     return groups.select("declaration_id", F.posexplode(picked).alias("pos", "l")).select(
         "declaration_id", (F.col("pos") + 1).alias("pick"), "l.*"
-    )
+    ).drop("place")
 
 
 def declaration_evidence(declarations: DataFrame, block: DataFrame) -> DataFrame:

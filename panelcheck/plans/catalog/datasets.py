@@ -583,11 +583,11 @@ def _(f):
 
 
 def declarations(f):
-    """Anchors for the maker, care and quantity blocks of every label."""
+    """Every line of every label as the anchor of a block."""
     i, n = F.col("source_image_id"), F.col("line_number")
-    label = F.when(n == 5, "manufacturer_or_packer").when(n == 7, "consumer_care").when(n == 1, "net_quantity")
-    return f.ocr_lines().filter(n.isin(1, 5, 7)).select(
-        (i * 10 + n).alias("declaration_id"), "source_image_id", label.alias("label"), F.col("text").alias("raw_text"), "confidence", "x", "y", "w", "h"
+    label = F.when(n == 5, "manufacturer_or_packer").when(n == 7, "consumer_care").when(n == 1, "net_quantity").when(n % 3 == 0, "mrp").otherwise("country_of_origin")
+    return f.ocr_lines().select(
+        (i * 100 + n).alias("declaration_id"), "source_image_id", label.alias("label"), F.col("text").alias("raw_text"), "confidence", "x", "y", "w", "h"
     )
 
 
@@ -669,8 +669,8 @@ def _(f):
 @query(
     "g28_review_regions",
     with_views("ocr_lines")
-    + """, d AS (SELECT source_image_id * 10 + line_number AS declaration_id, *, CASE line_number WHEN 5 THEN 'manufacturer_or_packer' WHEN 7 THEN 'consumer_care' ELSE 'net_quantity' END AS label
-   FROM ocr_lines WHERE line_number IN (1, 5, 7))
+    + """, d AS (SELECT source_image_id * 100 + line_number AS declaration_id, *, CASE line_number WHEN 5 THEN 'manufacturer_or_packer' WHEN 7 THEN 'consumer_care' WHEN 1 THEN 'net_quantity'
+   ELSE CASE line_number % 3 WHEN 0 THEN 'mrp' ELSE 'country_of_origin' END END AS label FROM ocr_lines WHERE y < 230)
  SELECT declaration_id, 'rectanglelabels' AS type, label AS value, round(10 * 100 / 180.0e0, 4) AS x, round(y * 100 / 230.0e0, 4) AS y, round(170 * 100 / 180.0e0, 4) AS width,
   round((least(230.0e0, y + 25) - y) * 100 / 230.0e0, 4) AS height FROM d
  UNION ALL SELECT declaration_id, 'textarea', text, NULL, NULL, NULL, NULL FROM d
@@ -685,7 +685,7 @@ def _(f):
 @query(
     "g28_prediction_statistics",
     with_views("ocr_lines")
-    + "SELECT source_image_id, count(*) AS ocr_line_count, round(avg(confidence), 4) AS score, CAST(3 AS BIGINT) AS suggestions FROM ocr_lines GROUP BY 1",
+    + "SELECT source_image_id, count(*) AS ocr_line_count, round(avg(confidence), 4) AS score, count(*) FILTER (WHERE y < 230) AS suggestions FROM ocr_lines GROUP BY 1",
 )
 def _(f):
     size = f.base("part").select(F.col("p_partkey").alias("source_image_id"), F.lit(180).alias("width_px"), F.lit(230).alias("height_px"))

@@ -10,6 +10,7 @@ from panelcheck.functions.expr import float_text, json_text
 from panelcheck.operators import analytics as A
 from panelcheck.operators import batches as B
 from panelcheck.operators import crossmatch as C
+from panelcheck.operators import datasets as D
 from panelcheck.operators import evidence as E
 from panelcheck.operators import matching as M
 from panelcheck.operators import rules as R
@@ -262,3 +263,57 @@ def test_check_digits(spark):
     codes = {"4006381333931": True, "4006381333932": False, "9638-5074": True, "036000291452": True, "12345": False, "abc": False, "": False}
     rows = spark.createDataFrame([(c,) for c in codes], "c string").select("c", Q.valid_gtin(F.col("c")).alias("ok")).collect()
     assert {r.c: r.ok for r in rows} == codes
+
+
+def _plain_block(anchor, raw, pattern, lines):
+    """Picked lines, one by one: of the candidates in reach of the grown box the nearest, then the lowest number."""
+    import math
+    import re
+
+    words = lambda t: set(re.findall("[a-z0-9]+", (t or "").lower()))
+    x, y, w, h = anchor
+    r, b = x + w, y + h
+    rest = [e for e in sorted(lines) if (w >= h) == (e[5] >= e[6])]
+    rest = [e for e in rest if re.search(pattern, e[1] or "", re.I) or len(words(e[1]) & words(raw)) >= max(1, min(2, len(words(e[1]))))]
+    picked = []
+    while rest:
+        near = []
+        for k, (_, _, _, lx, ly, lw, lh) in enumerate(rest):
+            dx, dy = max(x - (lx + lw), lx - r, 0), max(y - (ly + lh), ly - b, 0)
+            if dx <= D.V.BLOCK_GAP_PX and dy <= D.V.BLOCK_GAP_PX and math.hypot(dx, dy) <= D.V.BLOCK_DIAGONAL_PX:
+                near.append((math.hypot(dx, dy), k))
+        if not near:
+            break
+        e = rest.pop(min(near)[1])
+        picked.append(e[:2])
+        x, y, r, b = min(x, e[3]), min(y, e[4]), max(r, e[3] + e[5]), max(b, e[4] + e[6])
+    return picked
+
+
+def test_blocks_equal_plain_growth(spark):
+    rng = random.Random(23)
+    words = ["made in", "India", "Acme", "Foods", "net", "500", "ghee", ""]
+    lines, declared = [], []
+    for image in range(6):
+        for n in range(30):
+            text = " ".join(rng.choice(words) for _ in range(rng.randrange(4))) if n != 3 else None
+            size = (60.0, 20.0) if rng.random() < 0.8 else (20.0, 60.0)
+            lines.append((image, n // 2, text, 0.5, float(rng.randrange(900)), float(rng.randrange(900)), *size))
+        lines.append(lines[-1])  # a line twice
+    for k, (image, _, text, _, x, y, w, h) in enumerate(lines):
+        declared.append((k, image, "country_of_origin" if k % 3 else "none of them" if k % 2 else None, text, 0.5, x, y, w, h))
+    table = spark.createDataFrame(lines, "source_image_id long, line_number int, text string, confidence double, x double, y double, w double, h double")
+    anchors = spark.createDataFrame(declared, "declaration_id long, source_image_id long, label string, raw_text string, confidence double, x double, y double, w double, h double")
+    got = {}
+    for row in sorted(D.connected_lines(anchors, table).collect()):
+        got.setdefault(row.declaration_id, []).append((row.line_number, row.text))
+    want = {}
+    for k, image, label, raw, _, *anchor in declared:
+        key = lambda e: (e[1], *e[4:], e[2] or "", e[3])
+        mine = [(e[1], e[2], *e[3:]) for e in sorted((e for e in lines if e[0] == image), key=key)]
+        ranked = [(i, *e) for i, e in enumerate(mine)]
+        picked = _plain_block(anchor, raw, D.V.LINE_PATTERNS[label] if label in D.V.LINE_PATTERNS else "(?!)", [((i, e[0]), e[1], *e[2:]) for i, *e in ranked])
+        if picked:
+            want[k] = [(n[1], t) for n, t in picked]
+    assert got == want and max(map(len, want.values())) > 4
+    assert D.connected_lines(anchors.limit(0), table).collect() == [] and D.connected_lines(anchors, table.limit(0)).collect() == []

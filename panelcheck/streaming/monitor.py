@@ -9,17 +9,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import TimestampType
 
 from panelcheck import fixed_values as V
+from panelcheck.functions.joins import last_row
 
 
 def watermarked(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Event time as TIMESTAMP (a time without zone cannot carry a watermark) with a watermark."""
-    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    return _timed(events).withWatermark("ts", delay)
+
+
+def newest_windows(windows: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """Every window as it stands when a stream has read what there is.
+
+    Runs in update mode: a batch writes the windows it changed into a folder of its own, which a replay overwrites, and the newest version of a
+    window counts.  Rows whose windows the watermark has closed change nothing.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/windows/batch={batch_id}")
+
+    writer = windows.writeStream.foreachBatch(run).outputMode("update").option("checkpointLocation", f"{folder}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    versions = windows.sparkSession.read.option("basePath", f"{folder}/windows").parquet(f"{folder}/windows")
+    return last_row(versions, keys, [F.col("batch")], windows.columns)
+
+
+def _timed(events: DataFrame) -> DataFrame:
+    """Event time as TIMESTAMP.  A column that is one stays untouched: a cast, even to its own type, would lose the watermark."""
+    return events if isinstance(events.schema["ts"].dataType, TimestampType) else events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _window(length: str, slide: str | None = None) -> Column:
-    return F.window(F.col("ts").cast("timestamp"), length, slide or length).alias("w")
+    return F.window("ts", length, slide or length).alias("w")
 
 
 def _bounds(df: DataFrame) -> DataFrame:
@@ -29,7 +52,7 @@ def _bounds(df: DataFrame) -> DataFrame:
 def alert_5xx(events: DataFrame, slide: str = "1 minute") -> DataFrame:
     """Share of 5xx answers in sliding two-minute windows."""
     bad = F.count_if(F.col("status_code").between(500, 599))
-    rows = events.groupBy(_window(V.ALERT_5XX["window"], slide)).agg(F.count(F.lit(1)).alias("requests"), bad.alias("errors"))
+    rows = _timed(events).groupBy(_window(V.ALERT_5XX["window"], slide)).agg(F.count(F.lit(1)).alias("requests"), bad.alias("errors"))
     ratio = F.col("errors") / F.col("requests")
     return _bounds(rows).withColumn("ratio", ratio).withColumn("firing", F.col("ratio") > V.ALERT_5XX["ratio"])
 
@@ -50,7 +73,7 @@ def bucket_quantile(counts: Column, total: Column, q: float, bounds: list[float]
 def latency_quantiles(events: DataFrame, length: str = "5 minutes", slide: str | None = None, bounds: list[float] | None = None) -> DataFrame:
     """p50, p95 and p99 from histogram buckets; only one row of counts per window is shuffled."""
     bounds = bounds or V.LATENCY_BUCKETS
-    rows = events.groupBy(_window(length, slide)).agg(
+    rows = _timed(events).groupBy(_window(length, slide)).agg(
         F.count(F.lit(1)).alias("n"), F.array(*[F.count_if(F.col("value") <= b) for b in bounds]).alias("counts")
     )
     p = lambda q: F.round(bucket_quantile(F.col("counts"), F.col("n"), q, bounds), 6)
@@ -63,14 +86,14 @@ def latency_alerts(quantiles: DataFrame, limit: float = V.ALERT_P95["request_sec
 
 def approximate_quantiles(events: DataFrame, length: str = "5 minutes") -> DataFrame:
     """Quantiles from a sketch of the values instead of buckets."""
-    rows = events.groupBy(_window(length)).agg(F.percentile_approx("value", [0.5, 0.95, 0.99], 1000).alias("p"))
+    rows = _timed(events).groupBy(_window(length)).agg(F.percentile_approx("value", [0.5, 0.95, 0.99], 1000).alias("p"))
     return _bounds(rows).select("window_start", *[F.get("p", i).alias(n) for i, n in enumerate(("p50", "p95", "p99"))])
 
 
 def alert_sync_conflicts(events: DataFrame, slide: str = "1 minute") -> DataFrame:
     """Conflicts per second over all operations per second, with a floor under the latter."""
     a = V.ALERT_CONFLICT
-    rows = events.groupBy(_window(a["window"], slide)).agg(
+    rows = _timed(events).groupBy(_window(a["window"], slide)).agg(
         F.count(F.lit(1)).alias("operations"), F.count_if(F.col("status") == "conflict").alias("conflicts")
     )
     ratio = (F.col("conflicts") / 300.0) / F.greatest(F.col("operations") / 300.0, F.lit(a["floor"]))
@@ -79,7 +102,7 @@ def alert_sync_conflicts(events: DataFrame, slide: str = "1 minute") -> DataFram
 
 def event_rates(events: DataFrame, keys: list[str], length: str = "1 minute", seconds: float = 60.0) -> DataFrame:
     """Events per second by the given labels in tumbling windows."""
-    rows = events.groupBy(_window(length), *keys).agg(F.count(F.lit(1)).alias("n"))
+    rows = _timed(events).groupBy(_window(length), *keys).agg(F.count(F.lit(1)).alias("n"))
     return _bounds(rows).withColumn("rate", F.col("n") / seconds)
 
 

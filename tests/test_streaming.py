@@ -40,6 +40,17 @@ def test_windowed_alerts_equal_the_batch(spark, fx, place):
     assert key(run(live, "complete")) == key(MO.alert_5xx(events))
 
 
+def test_late_events_change_no_closed_window(spark, place):
+    at = lambda m: dt.datetime(2026, 1, 1) + dt.timedelta(minutes=m)
+    table = lambda minutes: spark.createDataFrame([(at(m), 503) for m in minutes], "ts timestamp, status_code int")
+    # minutes 1 and 2 come again when the watermark has passed them, minute 55 when it has not
+    for minutes in ([0, 1, 2], [60], [61], [1, 2, 55]):
+        table(minutes).coalesce(1).write.mode("append").parquet(f"{place}/in")
+        stream = MO.watermarked(spark.readStream.schema("ts timestamp, status_code int").parquet(f"{place}/in"))
+        live = MO.newest_windows(MO.alert_5xx(stream), ["window_start"], place)
+    assert key(live) == key(MO.alert_5xx(table([0, 1, 2, 60, 61, 55])))
+
+
 def test_counters_equal_the_batch(spark, fx, place):
     rows = fx.images().select("image_role", "quality_check_passed")
     live = run(MO.domain_counters(stream_of(spark, rows, place), ["image_role", "quality_check_passed"]), "update")

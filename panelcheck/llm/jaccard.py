@@ -1,13 +1,15 @@
 """N-gram Jaccard join over count vectors.
 
-A document is the set of its distinct 4-word shingles.  Two documents link when
-100 * intersection >= 85 * union.  The operator gives every document the smallest id it can reach by links.
+A document is the set of its distinct shingles of some words.  Two documents link when their Jaccard similarity
+reaches a threshold; a ``Rule`` states both (``CONTRACT``: 4 words and 0.85, ``NEAR``: 5 words and 0.8).
+The operator gives every document the smallest id it can reach by links.
 
 1. Equal sets become one node (a copy group of any size costs one row).
 2. Shingles are hashed into groups.  A pair that links differs in at most r shingles, so of r + 1 + e groups at least 1 + e
    hold the same shingles in both.  Each node keeps its r + 1 fullest groups; a pair that links shares one of them,
    whichever e groups each side leaves out (prefix filter over groups, fullest first).
    Nodes that share a full group fall into one cell; cells chain into blocks.
+   A task first joins the nodes it holds itself, so a cell of any size sends a row or two a task through the one exchange by cell.
    These cells are the upper levels of the index: with a hundred coordinates a tree over all points prunes nothing.
 3. In a block, nodes are packed into leaves of an R-tree (sort by size and by coordinates, then runs).
    A leaf keeps the largest count of each coordinate; the overlap of two leaves or nodes is at most the sum of coordinate minima.
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +39,27 @@ from pyspark.sql import functions as F
 
 from panelcheck.llm.common import fresh, in_order, written
 
-WORDS = 4  # of a shingle
-NUM, DEN = 85, 100  # the least Jaccard similarity
 GROUPS = 128  # coordinates of a point
 LEAF = 256  # nodes of a leaf
-SMALLEST = 6  # smaller sets link with equal sets only
 _MASK = (1 << 64) - 1
 
+
+class Rule(NamedTuple):
+    """Which documents link: shingles of so many words, and the least similarity num / den (below 1)."""
+
+    words: int
+    num: int
+    den: int
+
+    @property
+    def smallest(self) -> int:
+        """Smaller sets link with equal sets only."""
+        return -(-self.num // (self.den - self.num))
+
+
+CONTRACT = Rule(4, 85, 100)
+NEAR = Rule(5, 80, 100)
+
 _rng = np.random.default_rng(20240502)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = int(_rng.integers(1, 2**61)) * 8 + 5
@@ -84,7 +101,7 @@ def word_hashes(text: str) -> np.ndarray:
     return mix((total[end] - total[start]) * _DOWN.upto(len(data) + 1)[start] + (end - start).astype(np.uint64))
 
 
-def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
+def shingles(text: str | None, size: int = CONTRACT.words) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles."""
     w = word_hashes(text or "")
     n = len(w)
@@ -102,41 +119,44 @@ def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
     return np.unique(h)
 
 
-def needed_overlap(both: np.ndarray) -> np.ndarray:
+def needed_overlap(both: np.ndarray, rule: Rule = CONTRACT) -> np.ndarray:
     """The least intersection of two linked sets whose sizes sum to ``both``."""
-    return -(-NUM * both // (NUM + DEN))
+    return -(-rule.num * both // (rule.num + rule.den))
+
+
+def _band_end(top: int, rule: Rule) -> int:
+    """The end of the band that starts at size ``top``."""
+    return rule.den * top // rule.num + 1
 
 
 @lru_cache(maxsize=None)
-def band_of_size(n: int) -> int:
+def band_of_size(n: int, rule: Rule = CONTRACT) -> int:
     """Sizes are cut into bands so that linked sets lie in one band or two adjacent ones."""
-    band, top = 0, SMALLEST
-    while True:
-        after = DEN * top // NUM + 1
-        if n < after:
-            return band
-        band, top = band + 1, after
+    band, end = 0, _band_end(rule.smallest, rule)
+    while n >= end:
+        band, end = band + 1, _band_end(end, rule)
+    return band
 
 
 @lru_cache(maxsize=None)
-def plan(band: int) -> tuple[int, int]:
+def plan(band: int, rule: Rule = CONTRACT) -> tuple[int, int]:
     """(groups, groups kept) for pairs whose larger set lies in the band."""
-    top = SMALLEST
+    top = rule.smallest
     for _ in range(band + 1):
-        top = DEN * top // NUM + 1
+        top = _band_end(top, rule)
     largest = top - 1
-    differ = max(s + int(needed_overlap(np.int64(s))) * -2 for s in range(2 * largest - 40 if largest > 25 else 2, 2 * largest + 1))
+    differ = max(s + int(needed_overlap(np.int64(s), rule)) * -2 for s in range(2 * largest - 40 if largest > 25 else 2, 2 * largest + 1))
     return differ + 1 + max(1, differ // 4), differ + 1
 
 
-def cell_keys(h: np.ndarray) -> np.ndarray:
+def cell_keys(h: np.ndarray, rule: Rule = CONTRACT) -> np.ndarray:
     """The cells of a node: for its own band and the next, its fullest groups by their contents."""
-    if len(h) < SMALLEST:
+    if len(h) < rule.smallest:
         return np.empty(0, np.int64)
     out = []
-    band = band_of_size(len(h))
+    band = band_of_size(len(h), rule)
     for b in (band, band + 1):
-        groups, kept = plan(b)
+        groups, kept = plan(b, rule)
         salt = np.uint64(mix(np.array([b + 1], np.uint64))[0])
         g = ((mix(h ^ salt) >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
         content = np.zeros(groups, np.uint64)
@@ -171,11 +191,11 @@ def _texts(df: DataFrame, keep: list[str], fn, schema: str) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def document_sets(docs: DataFrame) -> DataFrame:
+def document_sets(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     """doc_id, n_shingles and the node of every row."""
 
     def sets(batch: pa.RecordBatch, state: dict) -> Iterator[pa.RecordBatch]:
-        each = [shingles(t) for t in batch.column(1).to_pylist()]
+        each = [shingles(t, rule.words) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([len(h) for h in each], pa.int64()), pa.array([node_of(h) for h in each], pa.int64())], names=["doc_id", "n_shingles", "node"]
         )
@@ -185,27 +205,85 @@ def document_sets(docs: DataFrame) -> DataFrame:
 
 
 SEEN = 200_000  # nodes of a task that are remembered, so that copies emit once
+HELD = 1_000_000  # cells that a task joins before it sends them on
 
 
-def cells(docs: DataFrame) -> DataFrame:
-    """(cell, node) rows."""
+def first_of_cells(cell: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in the order of cell and node; which of them is its cell's first, and each row's first node."""
+    order = np.lexsort((node, cell))
+    cell, node = cell[order], node[order]
+    first = np.concatenate(([True], cell[1:] != cell[:-1]))
+    return order, first, node[first][np.cumsum(first) - 1]
 
-    def emit(batch: pa.RecordBatch, state: dict) -> Iterator[pa.RecordBatch]:
-        seen, keys, nodes = state.setdefault("seen", set()), [], []
-        for t in batch.column(1).to_pylist():
-            h = shingles(t)
-            node = node_of(h)
-            if node is None or node in seen:
-                continue
-            if len(seen) >= SEEN:
-                seen.clear()
-            seen.add(node)
-            keys.append(cell_keys(h))
-            nodes.append(np.full(len(keys[-1]), node, np.int64))
+
+def cells(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
+    """(cell, node, near): with near null, the smallest node that a run of a task's nodes has in the cell; otherwise two nodes of one cell.
+
+    The second kind is dealt by its node.
+    """
+
+    def rows(keys: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
+        cell, node = np.concatenate(keys), np.concatenate(nodes)
+        order, first, hub = first_of_cells(cell, node)
+        cell, node = cell[order], node[order]
+        near = np.unique(np.stack((node, hub), axis=1)[node != hub], axis=0)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate((cell[first], near[:, 0]))),
+                pa.array(np.concatenate((node[first], near[:, 0]))),
+                pa.array(np.concatenate((np.zeros(first.sum(), np.int64), near[:, 1])), mask=np.arange(first.sum() + len(near)) < first.sum()),
+            ],
+            names=["cell", "node", "near"],
+        )
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, keys, nodes, held = set(), [], [], 0
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                h = shingles(t, rule.words)
+                node = node_of(h)
+                if node is None or node in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(node)
+                key = cell_keys(h, rule)
+                if not len(key):
+                    continue
+                keys.append(key)
+                nodes.append(np.full(len(key), node, np.int64))
+                held += len(key)
+                if held >= HELD:
+                    yield rows(keys, nodes)
+                    keys, nodes, held = [], [], 0
         if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["cell", "node"])
+            yield rows(keys, nodes)
+
+    return docs.select("body").mapInArrow(emit, "cell bigint, node bigint, near bigint")
+
 
-    return _texts(docs, ["doc_id"], emit, "cell bigint, node bigint")
+def cell_stars(members: DataFrame) -> DataFrame:
+    """(a, b): edges that connect the nodes of every cell.  The members move once; each task reads its cells in order, as a stream."""
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_cell, last_hub = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            alone = batch.column(2).is_null().to_numpy(zero_copy_only=False)
+            node = batch.column(1).to_numpy()
+            given = np.stack((batch.column(2).fill_null(0).to_numpy()[~alone], node[~alone]), axis=1)
+            cell, node = batch.column(0).to_numpy()[alone], node[alone]
+            if len(cell):
+                _, _, hub = first_of_cells(cell, node)
+                hub = np.where(cell == last_cell, last_hub, hub) if last_cell is not None else hub
+                last_cell, last_hub = cell[-1], hub[-1]
+                given = np.concatenate((given, np.stack((hub, node), axis=1)[hub != node]))
+            if len(given):
+                given = np.unique(given, axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(given[:, 0]), pa.array(given[:, 1])], names=["a", "b"])
+
+    return members.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(stars, "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -229,8 +307,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 class Sets:
     """The nodes of one or two leaves, with exact overlaps of all their pairs."""
 
-    def __init__(self, sizes: np.ndarray, counts: np.ndarray, sets: list[np.ndarray]) -> None:
-        self.sizes, self.counts, self.sets = sizes, counts, sets
+    def __init__(self, sizes: np.ndarray, counts: np.ndarray, sets: list[np.ndarray], rule: Rule = CONTRACT) -> None:
+        self.sizes, self.counts, self.sets, self.rule = sizes, counts, sets, rule
 
     def pairs(self, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
         """Linked pairs, one row of the left side at a time; a pair that union-find has already joined is skipped."""
@@ -244,7 +322,7 @@ class Sets:
 
         for i in left:
             others = right[right > i]
-            need = needed_overlap(self.sizes[others] + self.sizes[i])
+            need = needed_overlap(self.sizes[others] + self.sizes[i], self.rule)
             others, need = (x[need <= np.minimum(self.sizes[others], self.sizes[i])] for x in (others, need))
             if not len(others):
                 continue
@@ -265,11 +343,11 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a))
 
 
-def points(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def points(docs: DataFrame, wanted: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     """(block, node, n, counts, hashes) of the wanted nodes: (doc_id, node, block), one document each."""
 
     def make(batch: pa.RecordBatch, state: dict) -> Iterator[pa.RecordBatch]:
-        each = [shingles(t) for t in batch.column(2).to_pylist()]
+        each = [shingles(t, rule.words) for t in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0), batch.column(1), pa.array([len(h) for h in each], pa.int64()),
@@ -291,7 +369,7 @@ def leaves(nodes: DataFrame) -> DataFrame:
     return nodes.join(number, F.col("node") == F.col("_node")).drop("_node")
 
 
-def leaf_pairs(packed: DataFrame) -> DataFrame:
+def leaf_pairs(packed: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     """(block, leaf, pair, side) for every pair of leaves of a block that the bound leaves open; ``pair`` names it."""
 
     def bounding_box(t: pa.Table) -> pa.Table:
@@ -306,7 +384,9 @@ def leaf_pairs(packed: DataFrame) -> DataFrame:
     bound = F.aggregate(F.zip_with("top", "o_top", lambda x, y: F.least(x, y)), F.lit(0).cast("bigint"), lambda s, x: s + x)
     # Sizes: the smallest set of the later leaf against the largest of the earlier; leaves follow one another by size.
     open_pairs = box.join(other, "block").filter(
-        (F.col("leaf") <= F.col("o_leaf")) & (DEN * F.col("most") >= NUM * F.col("o_least")) & (bound * (NUM + DEN) >= NUM * (F.col("least") + F.col("o_least")))
+        (F.col("leaf") <= F.col("o_leaf"))
+        & (rule.den * F.col("most") >= rule.num * F.col("o_least"))
+        & (bound * (rule.num + rule.den) >= rule.num * (F.col("least") + F.col("o_least")))
     )
     pair = open_pairs.select("block", F.col("leaf").alias("l1"), F.col("o_leaf").alias("l2"), F.xxhash64("block", "leaf", "o_leaf").alias("pair"))
     one = pair.select("block", F.col("l1").alias("leaf"), "pair", F.lit(1).alias("side"))
@@ -314,7 +394,7 @@ def leaf_pairs(packed: DataFrame) -> DataFrame:
     return one.union(two)
 
 
-def leaf_links(packed: DataFrame, pairs: DataFrame) -> DataFrame:
+def leaf_links(packed: DataFrame, pairs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     """(a, b): links that span the linked nodes of each pair of leaves."""
 
     def join_leaves(batch: pa.Table) -> pa.Table:
@@ -325,6 +405,7 @@ def leaf_links(packed: DataFrame, pairs: DataFrame) -> DataFrame:
             t.column("n").to_numpy(),
             np.stack([np.frombuffer(x, np.uint32) for x in t.column("counts").to_pylist()]).astype(np.int64),
             [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()],
+            rule,
         )
         first, second = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
         found = list(sets.pairs(first, second if len(second) else first))
@@ -333,19 +414,16 @@ def leaf_links(packed: DataFrame, pairs: DataFrame) -> DataFrame:
     return packed.join(pairs, ["block", "leaf"]).select("pair", "side", "node", "n", "counts", "hashes").groupBy("pair").applyInArrow(join_leaves, "a bigint, b bigint")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = CONTRACT) -> DataFrame:
     """One row per row of ``docs``: the id (as doc_id), n_shingles, component_id."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("body"))
-    sets = written(document_sets(source), "jaccard-sets")
+    sets = written(document_sets(source, rule), "jaccard-sets")
     first = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
-    members = written(cells(source), "jaccard-cells")
-    hubs = members.groupBy("cell").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub <> other").drop("other")
-    stars = members.join(hubs, "cell").filter("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    blocks = components(stars, "jaccard-blocks")
+    blocks = components(cell_stars(cells(source, rule)), "jaccard-blocks")
     wanted = first.join(blocks, "node").select("doc_id", "node", F.col("root").alias("block"))
-    packed = written(leaves(written(points(source, wanted), "jaccard-points")), "jaccard-leaves")
-    links = leaf_links(packed, leaf_pairs(packed))
+    packed = written(leaves(written(points(source, wanted, rule), "jaccard-points")), "jaccard-leaves")
+    links = leaf_links(packed, leaf_pairs(packed, rule), rule)
 
     # Components over nodes; the smallest id of a component's documents names it.
     roots = components(links, "jaccard-links")
@@ -355,13 +433,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return sets.join(of_node, F.col("node") == F.col("_node"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = NEAR) -> DataFrame:
     """The rows and columns of the document with the smallest id of each component; of equal rows (id and text) one stays.
 
     Rows without an id stay.
     """
     gone_id, text_hash, copy = fresh(docs, "gone_id"), fresh(docs, "text_hash"), fresh(docs, "copy_number")
-    gone = jaccard_components(docs, id_col, text_col).filter("component_id <> doc_id").select(F.col("doc_id").alias(gone_id)).distinct()
+    gone = jaccard_components(docs, id_col, text_col, rule).filter("component_id <> doc_id").select(F.col("doc_id").alias(gone_id)).distinct()
     kept = docs.join(gone, F.col(id_col) == F.col(gone_id), "left_anti").withColumn(text_hash, F.xxhash64(text_col))
     number = F.row_number().over(W.partitionBy(id_col, text_hash).orderBy(F.lit(1)))
     return kept.withColumn(copy, number).filter(F.col(copy) == 1).drop(copy, text_hash)

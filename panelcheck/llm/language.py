@@ -3,6 +3,8 @@
 Each letter has a random vector of +1 and -1.  A trigram is the product of its
 letters' vectors, rotated by their place; a document and a language prototype are
 sums of trigram vectors, and the prototype with the largest cosine wins.
+A trigram that a document holds n times weighs log2(1 + n), in sixteenths, so that one passage
+repeated without end does not drown the rest; every occurrence counts.
 
 Training adds whole-number vectors in any order, so a rerun gives the same
 prototypes.  Only one vector for each language reaches the driver.
@@ -24,10 +26,11 @@ from pyspark.sql import functions as F
 
 DIM = 1024
 SEED = 20240501
-SHARE = 16  # a trigram counts up to so often in a document
 UNKNOWN = "und"
 LEAST_SCORE = 0.1  # three standard deviations of the cosine of random vectors
 BLOCK_CHARS, BLOCK_DOCS = 400_000, 256
+SLICE = 4096  # trigram vectors that are held at once
+LETTERS = 65_536  # letter vectors that a task remembers
 
 _LETTER: np.ndarray | None = None
 
@@ -55,21 +58,42 @@ class Space:
 
     def __init__(self, dim: int, seed: int) -> None:
         self.dim, self.seed = dim, seed
-        self.turned: dict[tuple[int, int], np.ndarray] = {}
-
-    def letter(self, code: int, turn: int) -> np.ndarray:
-        if (v := self.turned.get((code, turn))) is None:
-            if len(self.turned) > 9000:
-                self.turned.clear()
-            v = np.roll(np.random.default_rng([self.seed, code]).integers(0, 2, self.dim, dtype=np.int8) * 2 - 1, turn)
-            self.turned[code, turn] = v
+        self.letters: dict[int, np.ndarray] = {}
+
+    def letter(self, code: int) -> np.ndarray:
+        if (v := self.letters.get(code)) is None:
+            if len(self.letters) >= LETTERS:
+                self.letters.clear()
+            v = self.letters[code] = np.random.default_rng([self.seed, code]).integers(0, 2, self.dim, dtype=np.int8) * 2 - 1
         return v
 
     def vectors(self, keys: np.ndarray) -> np.ndarray:
         out = np.ones((len(keys), self.dim), np.int8)
         for turn, shift in ((2, 42), (1, 21), (0, 0)):
             codes, at = np.unique(keys >> shift & 0x1FFFFF, return_inverse=True)
-            out *= np.stack([self.letter(int(c), turn) for c in codes])[at]
+            out *= np.roll(np.stack([self.letter(int(c)) for c in codes]), turn, axis=1)[at]
+        return out
+
+    def bundles(self, texts: list[str], groups: np.ndarray) -> np.ndarray:
+        """The sums of the weighted trigram vectors of the texts of each group (numbers from 0), exact whole numbers.
+
+        Memory beyond the texts' own trigrams is (groups + dim) x SLICE numbers.
+        """
+        out = np.zeros((int(groups.max()) + 1, self.dim))
+        each = [np.unique(trigram_keys(t), return_counts=True) for t in texts]
+        key = np.concatenate([k for k, _ in each])
+        weight = np.concatenate([np.rint(16 * np.log2(1 + n)) for _, n in each])
+        group = np.repeat(groups, [len(k) for k, _ in each])
+        keys, at = np.unique(key, return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        at, weight, group = at[order], weight[order], group[order]
+        for low in range(0, len(keys), SLICE):
+            some = keys[low : low + SLICE]
+            here = slice(*np.searchsorted(at, [low, low + len(some)]))
+            counts = np.bincount(group[here] * len(some) + at[here] - low, weight[here], len(out) * len(some)).reshape(len(out), -1)
+            # Products of float32 are exact while a row's weights sum to less than 2 ** 24.
+            kind = np.float32 if counts.sum(axis=1).max() < 1 << 24 else np.float64
+            out += counts.astype(kind) @ self.vectors(some).astype(kind)
         return out
 
 
@@ -87,17 +111,6 @@ def blocks(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
         yield rows, [texts[r] or "" for r in rows]
 
 
-def counted(texts: list[str], share: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct trigrams of some texts, and their counts (texts x trigrams), none above ``share``."""
-    each = [trigram_keys(t) for t in texts]
-    keys, at = np.unique(np.concatenate(each), return_inverse=True)
-    if not len(keys):
-        return keys, np.zeros((len(texts), 0), np.float32)
-    rows = np.repeat(np.arange(len(texts)), [len(e) for e in each])
-    counts = np.bincount(rows * len(keys) + at, minlength=len(texts) * len(keys)).reshape(len(texts), -1)
-    return keys, np.minimum(counts, share).astype(np.float32)
-
-
 def prototypes(docs: DataFrame, text_col: str, lang_col: str, dim: int = DIM, seed: int = SEED) -> dict[str, list[int]]:
     """The sum of all trigram vectors of each language's documents."""
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("body")).dropna()
@@ -107,14 +120,9 @@ def prototypes(docs: DataFrame, text_col: str, lang_col: str, dim: int = DIM, se
         for batch in batches:
             langs = batch.column(0).to_pylist()
             for at, texts in blocks(batch.column(1).to_pylist()):
-                keys, counts = counted(texts, SHARE)
-                if not len(keys):
-                    continue
-                here = [langs[r] for r in at]
-                names = sorted(set(here))
-                by_lang = np.stack([counts[[x == n for x in here]].sum(axis=0) for n in names])
-                for name, v in zip(names, by_lang @ space.vectors(keys).astype(np.float32), strict=True):
-                    sums[name] = sums.get(name, 0) + np.rint(v).astype(np.int64)
+                names, group = np.unique([langs[r] for r in at], return_inverse=True)
+                for name, v in zip(names.tolist(), space.bundles(texts, group), strict=True):
+                    sums[name] = sums.get(name, 0) + v.astype(np.int64)
         if sums:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], names=["lang", "v"]
@@ -130,15 +138,14 @@ def classify(texts: list[str | None], names: list[str], protos: np.ndarray, spac
     """Language and score of each text; ``protos`` are unit vectors."""
     langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
     for at, some in blocks(texts):
-        keys, counts = counted(some, SHARE)
-        if not len(keys) or not names:
+        if not names:
             continue
-        docs = counts @ space.vectors(keys).astype(np.float32)
+        docs = space.bundles(some, np.arange(len(some)))
         length = np.linalg.norm(docs, axis=1)
         cosine = (docs @ protos.T) / np.maximum(length, 1e-9)[:, None]
-        best = cosine.argmax(axis=1)
+        best, lettered = cosine.argmax(axis=1), docs.any(axis=1)
         for i, r in enumerate(at):
-            if counts[i].any():
+            if lettered[i]:
                 langs[r] = names[best[i]]
                 scores[r] = round(float(np.clip(cosine[i, best[i]], 0, 1)), 6)
     return langs, scores

@@ -41,14 +41,14 @@ def digest(spans):
     return hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(spans)).encode()).hexdigest()
 
 
-def shingle_set(text):
+def shingle_set(text, size=4):
     w = words(lower(text or ""))
-    return frozenset([tuple(w)] if 0 < len(w) < 4 else [tuple(w[i : i + 4]) for i in range(len(w) - 3)])
+    return frozenset([tuple(w)] if 0 < len(w) < size else [tuple(w[i : i + size]) for i in range(len(w) - size + 1)])
 
 
-def jaccard_classes(rows):
+def jaccard_classes(rows, size=4, percent=85):
     """(doc_id, size, smallest reachable id) of (doc_id, text) by comparing all pairs."""
-    sets = [(i, shingle_set(t)) for i, t in rows]
+    sets = [(i, shingle_set(t, size)) for i, t in rows]
     top = list(range(len(sets)))
 
     def root(i):
@@ -59,7 +59,7 @@ def jaccard_classes(rows):
     for i, (_, a) in enumerate(sets):
         for j in range(i):
             b = sets[j][1]
-            if a and b and min(len(a), len(b)) * 100 >= 85 * max(len(a), len(b)) and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and min(len(a), len(b)) * 100 >= percent * max(len(a), len(b)) and 100 * len(a & b) >= percent * len(a | b):
                 top[root(i)] = root(j)
     least = {}
     for i, (d, _) in enumerate(sets):

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from helpers import DOCS, awkward_rows, docs_table, item_hits, jaccard_classes, shingle_set
 
 from panelcheck.llm import decontaminate, html, jaccard, licenses, mixing
@@ -71,6 +72,47 @@ def test_every_linked_pair_shares_a_cell_and_passes_the_bound():
             assert np.minimum(jaccard.group_counts(left), jaccard.group_counts(right)).sum() >= need
 
 
+def test_every_linked_pair_of_another_rule_shares_a_cell():
+    rule, rng = jaccard.NEAR, np.random.default_rng(19)
+    assert rule.smallest == 4 and jaccard.CONTRACT.smallest == 6
+    for n in [4, 5, 6, 9, 14, 31, 80, 400]:
+        for _ in range(100):
+            b = n + int(rng.integers(0, n // 4 + 1))
+            need = int(jaccard.needed_overlap(np.int64(n + b), rule))
+            if need > n:
+                continue
+            pool = rng.integers(0, 2**63, n + b, dtype=np.uint64)
+            left, right = np.unique(pool[:n]), np.unique(np.concatenate((pool[:need], pool[n : n + b - need])))
+            assert 100 * need >= 80 * (n + b - need)
+            assert set(jaccard.cell_keys(left, rule).tolist()) & set(jaccard.cell_keys(right, rule).tolist()), (n, b)
+
+
+def test_cells_connect_whatever_a_task_holds(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HELD", 40)
+    docs = docs_table(spark, family_rows()).select("doc_id", F.col("text").alias("body")).repartition(5)
+    by_cell = {}
+    for t in {r["body"] for r in docs.collect()}:
+        h = jaccard.shingles(t)
+        for c in jaccard.cell_keys(h).tolist():
+            by_cell.setdefault(c, set()).add(jaccard.node_of(h))
+    label = {n: n for c in by_cell.values() for n in c}
+
+    def root(n):
+        while label[n] != n:
+            n = label[n]
+        return n
+
+    def joined(pairs):
+        label.update({n: n for n in label})
+        for a, b in pairs:
+            label[root(a)] = root(b)
+        return {frozenset(x for x in label if root(x) == r) for r in {root(n) for n in label}}
+
+    want = joined((min(c), n) for c in by_cell.values() for n in c)
+    assert joined((r["a"], r["b"]) for r in jaccard.cell_stars(jaccard.cells(docs)).collect()) == want
+    assert max(map(len, want)) > 2
+
+
 def test_bound_holds_for_very_large_sets():
     h = np.unique(np.random.default_rng(15).integers(0, 2**63, 70_000 * jaccard.GROUPS, dtype=np.uint64))
     counts = jaccard.group_counts(h)
@@ -87,12 +129,13 @@ def test_shingle_hashes_name_the_same_sets():
     assert len(set(seen.values())) == len(seen)
 
 
-def test_one_of_each_group(spark):
+@pytest.mark.parametrize("rule", [jaccard.CONTRACT, jaccard.NEAR])
+def test_one_of_each_group(spark, rule):
     rows = family_rows() + awkward_rows()
     table = docs_table(spark, [(None if i is None else i + 5000 * (k >= 150), t, la, s) for k, (i, t, la, s) in enumerate(rows)])
-    kept = jaccard.one_of_each_group(table)
+    kept = jaccard.one_of_each_group(table, rule=rule)
     got = [r["doc_id"] for r in kept.collect()]
-    first = {c for _, _, c in jaccard_classes([(r["doc_id"], r["text"]) for r in table.collect()])}
+    first = {c for _, _, c in jaccard_classes([(r["doc_id"], r["text"]) for r in table.collect()], rule.words, rule.num)}
     assert kept.columns == table.columns and set(got) == first and len(got) == len(set(got))
 
 

@@ -28,6 +28,9 @@ def corpus():
         if i % 3:
             w[-1] = "changed"
         rows.append((i, " ".join(w), "en", "a", None))
+    for i in range(300, 330):
+        w = rows[i - 300][1].split()
+        rows.append((i, " ".join(w + [f"more{i}x{k}" for k in range(int(0.22 * (len(w) - 4)))]), "en", "a", None))
     rows += [(400, None, None, None, None), (401, "12 34", "en", "b", None), (402, "", "en", "b", None), (rows[5][0], *rows[5][1:])]
     return rows, [(1, item), (2, None)]
 
@@ -79,7 +82,8 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
 
     lettered = {(i, t) for i, t, *_ in rows if t and any(map(str.isalpha, t))}
     assert seen[0] == lettered
-    first = {c for _, _, c in jaccard_classes(sorted(lettered))}
+    first = {c for _, _, c in jaccard_classes(sorted(lettered), 5, 80)}
+    assert len(first) < len({c for _, _, c in jaccard_classes(sorted(lettered))})  # pairs between 0.80 and 0.85
     alone = {(i, t) for i, t in lettered if i in first}
     assert seen[1] == alone and len(alone) < len(lettered) - 40
     clean = {(i, t) for i, t in alone if not item_hits(t, items)[1]}

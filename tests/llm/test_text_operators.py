@@ -1,8 +1,12 @@
 """Operators that look at one text at a time, against plain versions of their contracts."""
 
+import math
 import random
 import re
+import time
+import zlib
 
+import numpy as np
 import pytest
 from helpers import DOCS, awkward_rows, digest, docs_table, random_text, words
 
@@ -164,6 +168,55 @@ def test_trie_counts_equal_a_plain_split(monkeypatch):
 # Language
 
 
+def plain_language(rows, dim, seed):
+    """{doc_id: (language, score)} with a vector made for every single trigram."""
+    letters = {}
+
+    def letter(c):
+        if c not in letters:
+            letters[c] = np.random.default_rng([seed, ord(c)]).integers(0, 2, dim, dtype=np.int8).astype(int) * 2 - 1
+        return letters[c]
+
+    def bundle(text):
+        t = " " + re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in text.lower())).strip() + " "
+        held = {}
+        for k in range(len(t) - 2):
+            held[t[k : k + 3]] = held.get(t[k : k + 3], 0) + 1
+        return sum((round(16 * math.log2(1 + n)) * np.roll(letter(x), 2) * np.roll(letter(y), 1) * letter(z) for (x, y, z), n in held.items()), np.zeros(dim, int))
+
+    protos = {}
+    for i, text, lang, _ in rows:
+        if text and lang and zlib.crc32(str(i).encode()) % 4 != 2:
+            protos[lang] = protos.get(lang, 0) + bundle(text)
+    out = {}
+    for i, text, *_ in rows:
+        v = bundle(text or "")
+        near = {name: v @ p / np.linalg.norm(v) / np.linalg.norm(p) for name, p in protos.items()} if v.any() else {}
+        best = max(sorted(near), key=near.get) if near else "und"
+        out[i] = (best, min(1.0, max(0.0, near.get(best, 0.0))))
+    return out
+
+
+def test_language_equals_a_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(language, "SLICE", 64)
+    rng = random.Random(31)
+    pools = {"en": "the and with house river morning".split(), "de": "der und mit haus fluß morgen".split(), "zh": [chr(0x4E00 + k) for k in range(900)], "ru": "и в не на я быть он".split()}
+    rows = [(i, ("" if la == "zh" else " ").join(rng.choices(pools[la], k=rng.randrange(1, 60))) + rng.choice(["", " 12!", "\n"]), la, "a") for i in range(200) for la in [rng.choice([*pools])]]
+    rows += [(300, "aaaa " * 5000, "en", "a"), (301, "", "en", "a"), (302, None, "en", "a"), (303, "12 34", "de", "a"), (304, "Haus", None, "a"), (305, "".join(rng.choices(pools["zh"], k=3000)), "zh", "b")]
+    want = plain_language(rows, language.DIM, language.SEED)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(docs_table(spark, rows)).collect()}
+    assert got.keys() == want.keys()
+    for i, (lang, score) in want.items():
+        assert got[i][0] == lang and abs(got[i][1] - score) < 2e-6, (i, got[i], want[i])
+
+
+def test_language_of_a_text_with_very_many_trigrams():
+    text = "".join(chr(c) for c in np.random.default_rng(3).integers(0x4E00, 0x9F00, 60_000))
+    space, began = language.Space(language.DIM, language.SEED), time.monotonic()
+    space.bundles([text], np.zeros(1, int))
+    assert time.monotonic() - began < 20 and len(space.letters) <= language.LETTERS
+
+
 def test_language_accuracy_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = language.identify(docs).join(docs.select("doc_id", "lang", "text"), "doc_id").filter("held_out").collect()

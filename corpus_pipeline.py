@@ -20,8 +20,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return jaccard.one_of_each_group(docs)
+    """One document of each group of near duplicates stays: five words to a shingle, similarity 0.8 or more."""
+    return jaccard.one_of_each_group(docs, rule=jaccard.NEAR)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

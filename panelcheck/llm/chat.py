@@ -145,18 +145,21 @@ def render(stream: DataFrame) -> DataFrame:
 
 
 def read_back(stream: DataFrame) -> DataFrame:
-    """What the formatted output says of each conversation; turns pass one by one, so a task holds one of them and two running hashes."""
+    """What the examples say of each conversation: a reply's text is read under the loss mask of its example, lengths are the examples'.
+
+    Turns pass one by one, so a task holds one of them and two running hashes.
+    """
     kind = stream.schema["conv_id"].dataType
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     types = [pa_type(kind), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
-        conv, n, chars, formatted, open_to = None, 0, 0, 0, 0
+        conv, n, chars, formatted = None, 0, 0, 0
         turns, loss = hashlib.sha256(), hashlib.sha256()
 
         def over() -> tuple:
-            return conv, n, turns.hexdigest(), chars, loss.hexdigest(), formatted + open_to
+            return conv, n, turns.hexdigest(), chars, loss.hexdigest(), formatted
 
         def batch() -> pa.RecordBatch:
             return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names=names)
@@ -169,11 +172,12 @@ def read_back(stream: DataFrame) -> DataFrame:
                 turns, loss = hashlib.sha256(), hashlib.sha256()
             role, text = read_turn(r["segment"])
             turns.update(f"{role}\n{text}\n".encode())
-            n, open_to = n + 1, r["stop"]
+            n += 1
+            formatted += r["n_chars"] or 0
             if r["loss_start"] is not None:
                 masked = unescaped(r["segment"][r["loss_start"] - r["start"] : r["loss_stop"] - r["start"]])
                 loss.update(masked.encode())
-                chars, formatted, open_to = chars + len(masked), formatted + r["stop"], 0
+                chars += len(masked)
             if len(done) >= 10_000:
                 yield batch()
                 done = []
@@ -182,7 +186,11 @@ def read_back(stream: DataFrame) -> DataFrame:
         if done:
             yield batch()
 
-    source = _by_conversation(stream.select("conv_id", "place", "segment", "start", "stop", "loss_start", "loss_stop"))
+    ends = examples(stream).withColumnsRenamed({"conv_id": "_conv", "place": "_place"})
+    at_end = F.col("_conv").eqNullSafe(F.col("conv_id")) & (F.col("_place") == F.col("place"))
+    source = _by_conversation(
+        stream.select("conv_id", "place", "segment", "start").join(ends, at_end, "left").drop("_conv", "_place")
+    )
     return source.mapInArrow(run, f"conv_id {kind.simpleString()}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 

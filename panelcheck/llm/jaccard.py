@@ -16,7 +16,7 @@ The operator gives every document the smallest id it can reach by links.
    Pairs of leaves, then of nodes, that cannot reach the overlap they need are skipped.
 4. Surviving pairs are verified by their shingles, in the task that holds both leaves; only links that join two
    still unconnected nodes of that task leave it.
-5. Links become components by repeated minimum of neighbours with pointer jumping.
+5. Links become components by contraction: minimum of neighbours with pointer jumping, then the edges between what is left.
 
 Nothing is sampled or capped.  The two sides of a link are compared by 64-bit hashes of shingles.
 
@@ -286,21 +286,42 @@ def cell_stars(members: DataFrame) -> DataFrame:
     return members.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(stars, "a bigint, b bigint").distinct()
 
 
+def starred(edges: DataFrame) -> DataFrame:
+    """(a, b) with a < b and the same components: a node keeps one smaller neighbour, and its other smaller ones meet that one.
+
+    Nodes of one group have mostly the same neighbours, so what they say about those falls together.
+    """
+    pairs = edges.filter("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+    least = pairs.withColumn("a", F.min("lo").over(W.partitionBy("hi")))
+    return least.select("a", F.when(F.col("lo") == F.col("a"), F.col("hi")).otherwise(F.col("lo")).alias("b")).distinct()
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, root): the smallest node that each node of the edges (a, b) reaches.
 
-    Every node takes the smallest label around it, then the label of its label, until nothing changes.
+    Every node takes its smallest neighbour, then the neighbour's and so on; what hangs together becomes one node, and the edges
+    between such nodes go on.  Local minima alone remain, at most half of the nodes, so an edge moves once or twice.
     Each round is written to the shared folder, so the plan stays short and survives lost executors.
     """
-    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), f"{name}-edges")
-    label = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), f"{name}-labels")
+    rest, label = written(starred(edges), f"{name}-edges"), None
     while True:
-        around = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        step = label.join(around, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("mid"))
-        jump = label.select(F.col("node").alias("mid"), F.col("root").alias("far"))
-        new = written(step.join(jump, "mid", "left").select("node", "was", F.least("mid", F.coalesce("far", "mid")).alias("root")), f"{name}-labels")
-        label = new.select("node", "root")
-        if new.filter("was <> root").isEmpty():
+        both = rest.union(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), f"{name}-labels")
+        while True:
+            jump = up.select(F.col("node").alias("mid"), F.col("root").alias("far"))
+            new = written(up.withColumnRenamed("root", "mid").join(jump, "mid").select("node", F.col("mid").alias("was"), F.col("far").alias("root")), f"{name}-labels")
+            up = new.select("node", "root")
+            if new.filter("was <> root").isEmpty():
+                break
+        if label is None:
+            label = up
+        else:
+            to = up.select(F.col("node").alias("root"), F.col("root").alias("_to"))
+            label = written(label.join(to, "root", "left").select("node", F.coalesce("_to", "root").alias("root")), f"{name}-labels")
+        ends = [up.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")) for c in ("a", "b")]
+        moved = rest.join(ends[0], "a").join(ends[1], "b").filter("_a <> _b")
+        rest = written(starred(moved.select(F.col("_a").alias("a"), F.col("_b").alias("b"))), f"{name}-edges")
+        if rest.isEmpty():
             return label
 
 

@@ -14,6 +14,7 @@ The operator gives every document the smallest id it can reach by links.
 3. In a block, nodes are packed into leaves of an R-tree (sort by size and by coordinates, then runs).
    A leaf keeps the largest count of each coordinate; the overlap of two leaves or nodes is at most the sum of coordinate minima.
    Pairs of leaves, then of nodes, that cannot reach the overlap they need are skipped.
+   First the counts of such leaves meet, then the sets of the nodes that have an open pair there.
 4. Surviving pairs are verified by their shingles, in the task that holds both leaves; only links that join two
    still unconnected nodes of that task leave it.
 5. Links become components by contraction: minimum of neighbours with pointer jumping, then the edges between what is left.
@@ -40,7 +41,8 @@ from pyspark.sql import functions as F
 from panelcheck.llm.common import fresh, in_order, written
 
 GROUPS = 128  # coordinates of a point
-LEAF = 256  # nodes of a leaf
+LEAF = 256  # nodes of a leaf; four times as many where sets are small, as a node moves once for each leaf that its own may meet
+SMALL_SET = 2048  # shingles
 _MASK = (1 << 64) - 1
 
 
@@ -227,11 +229,14 @@ def cells(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
         order, first, hub = first_of_cells(cell, node)
         cell, node = cell[order], node[order]
         near = np.unique(np.stack((node, hub), axis=1)[node != hub], axis=0)
+        cell, node = cell[first], node[first]
+        by_node = np.argsort(node, kind="stable")  # equal nodes in a row: shuffle files are smaller
+        cell, node = cell[by_node], node[by_node]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.concatenate((cell[first], near[:, 0]))),
-                pa.array(np.concatenate((node[first], near[:, 0]))),
-                pa.array(np.concatenate((np.zeros(first.sum(), np.int64), near[:, 1])), mask=np.arange(first.sum() + len(near)) < first.sum()),
+                pa.array(np.concatenate((cell, near[:, 0]))),
+                pa.array(np.concatenate((node, near[:, 0]))),
+                pa.array(np.concatenate((np.zeros(len(cell), np.int64), near[:, 1])), mask=np.arange(len(cell) + len(near)) < len(cell)),
             ],
             names=["cell", "node", "near"],
         )
@@ -382,10 +387,14 @@ def points(docs: DataFrame, wanted: DataFrame, rule: Rule = CONTRACT) -> DataFra
 
 
 def leaves(nodes: DataFrame) -> DataFrame:
-    """Packs the nodes of each block into leaves: all nodes sorted by block, size and coordinates, cut into runs of LEAF nodes."""
+    """Packs the nodes of each block into leaves: all nodes sorted by block, size and coordinates, cut into runs of nodes.
+
+    A leaf is named by the rank of its run's start, which does not fall along the order of a block.
+    """
     key = nodes.select("block", "n", F.substring("counts", 1, 32).alias("head"), "node")
+    run = F.when(F.col("n") <= SMALL_SET, 4 * LEAF).otherwise(LEAF)
     number = in_order(key, ["block", "n", "head", "node"], "jaccard-order").select(
-        F.col("node").alias("_node"), F.floor(F.col("rank") / LEAF).cast("bigint").alias("leaf")
+        F.col("node").alias("_node"), (F.col("rank") - F.col("rank") % run).cast("bigint").alias("leaf")
     )
     return nodes.join(number, F.col("node") == F.col("_node")).drop("_node")
 
@@ -415,6 +424,32 @@ def leaf_pairs(packed: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     return one.union(two)
 
 
+def met_nodes(packed: DataFrame, pairs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
+    """(node, pair, side): the nodes of each pair of leaves that the bound leaves open against some node of the other leaf.
+
+    Only counts move here, so that the sets, which are far larger, move for the leaves where a node may link, not for all of its block.
+    """
+
+    def bounded(batch: pa.Table) -> pa.Table:
+        order = np.lexsort((batch.column("node").to_numpy(), batch.column("side").to_numpy()))
+        t = batch.take(pa.array(order))
+        side, n = t.column("side").to_numpy(), t.column("n").to_numpy()
+        counts = np.stack([np.frombuffer(x, np.uint32) for x in t.column("counts").to_pylist()])
+        first, second = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
+        met = np.zeros(len(n), bool)
+        for i in first:
+            others = second if len(second) else first[first > i]
+            need = needed_overlap(n[others] + n[i], rule)
+            others, need = (x[need <= np.minimum(n[others], n[i])] for x in (others, need))
+            near = others[np.minimum(counts[others], counts[i]).sum(axis=1, dtype=np.int64) >= need]
+            met[near] = True
+            met[i] |= len(near) > 0
+        return t.select(["node", "pair", "side"]).filter(pa.array(met))
+
+    rows = packed.select("block", "leaf", "node", "n", "counts").join(pairs, ["block", "leaf"]).select("pair", "side", "node", "n", "counts")
+    return rows.groupBy("pair").applyInArrow(bounded, "node bigint, pair bigint, side int")
+
+
 def leaf_links(packed: DataFrame, pairs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     """(a, b): links that span the linked nodes of each pair of leaves."""
 
@@ -422,17 +457,14 @@ def leaf_links(packed: DataFrame, pairs: DataFrame, rule: Rule = CONTRACT) -> Da
         order = np.lexsort((batch.column("node").to_numpy(), batch.column("side").to_numpy()))
         t = batch.take(pa.array(order))
         side, node = t.column("side").to_numpy(), t.column("node").to_numpy()
-        sets = Sets(
-            t.column("n").to_numpy(),
-            np.stack([np.frombuffer(x, np.uint32) for x in t.column("counts").to_pylist()]).astype(np.int64),
-            [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()],
-            rule,
-        )
+        each = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
+        sets = Sets(np.array([len(h) for h in each]), np.stack([group_counts(h) for h in each]).astype(np.int64), each, rule)
         first, second = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
         found = list(sets.pairs(first, second if len(second) else first))
         return pa.table({"a": pa.array([int(node[i]) for i, _ in found], pa.int64()), "b": pa.array([int(node[j]) for _, j in found], pa.int64())})
 
-    return packed.join(pairs, ["block", "leaf"]).select("pair", "side", "node", "n", "counts", "hashes").groupBy("pair").applyInArrow(join_leaves, "a bigint, b bigint")
+    met = written(met_nodes(packed, pairs, rule), "jaccard-met")
+    return packed.select("node", "hashes").join(met, "node").select("pair", "side", "node", "hashes").groupBy("pair").applyInArrow(join_leaves, "a bigint, b bigint")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = CONTRACT) -> DataFrame:

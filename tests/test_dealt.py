@@ -29,3 +29,11 @@ def test_tasks_follow_the_size_of_the_parent(spark, tmp_path):
     wanted = -(-plan_bytes(f.base("orders")) // PART_BYTES)
     assert wanted > 8
     assert f.dealt("orders", "o_orderkey").rdd.getNumPartitions() >= wanted
+
+
+def test_lines_of_one_block_are_read_by_many_tasks(spark):
+    """The parts of sf0.1 are one small block; the patterns of their lines are not one task's work."""
+    from panelcheck.fixtures import Fixtures
+
+    assert Fixtures(spark, FOLDER).base("part").rdd.getNumPartitions() == 1
+    assert Fixtures(spark, FOLDER).ocr_lines().rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions")) > 1

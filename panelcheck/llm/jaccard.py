@@ -14,7 +14,8 @@ The operator gives every document the smallest id it can reach by links.
 3. In a block, nodes are packed into leaves of an R-tree (sort by size and by coordinates, then runs).
    A leaf keeps the largest count of each coordinate; the overlap of two leaves or nodes is at most the sum of coordinate minima.
    Pairs of leaves, then of nodes, that cannot reach the overlap they need are skipped.
-   First the counts of such leaves meet, then the sets of the nodes that have an open pair there.
+   First the counts of such leaves meet, large sets with more coordinates; then the sets of the nodes that have an open pair there.
+   Sets are made from the texts where they are needed and never stored.
 4. Surviving pairs are verified by their shingles, in the task that holds both leaves; only links that join two
    still unconnected nodes of that task leave it.
 5. Links become components by contraction: minimum of neighbours with pointer jumping, then the edges between what is left.
@@ -28,7 +29,7 @@ gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -43,6 +44,7 @@ from panelcheck.llm.common import fresh, in_order, written
 GROUPS = 128  # coordinates of a point
 LEAF = 256  # nodes of a leaf; four times as many where sets are small, as a node moves once for each leaf that its own may meet
 SMALL_SET = 2048  # shingles
+LOAD = 8  # shingles a fine coordinate; beyond some 15 two unrelated sets pass for similar by their counts
 _MASK = (1 << 64) - 1
 
 
@@ -178,8 +180,41 @@ def node_of(h: np.ndarray) -> int | None:
     return int(mix(np.array([x], np.uint64)).view(np.int64)[0])
 
 
-def group_counts(h: np.ndarray) -> np.ndarray:
-    return np.bincount((mix(h) >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.uint32)
+def group_counts(h: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    return np.bincount((mix(h) >> np.uint64(40)).astype(np.int64) % groups, minlength=groups).astype(np.uint32)
+
+
+def fine_counts(h: np.ndarray) -> np.ndarray:
+    """Counts by as many coordinates as the set needs, a power of two times GROUPS; ``folded`` makes fewer of them."""
+    groups = GROUPS
+    while len(h) > LOAD * groups:
+        groups *= 2
+    return group_counts(h, groups)
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    return counts.reshape(-1, groups).sum(axis=0, dtype=np.uint32)
+
+
+class Bounds:
+    """Upper bounds of the overlaps of nodes with fine counts of any lengths: two nodes meet at the shorter one's coordinates."""
+
+    def __init__(self, counts: list[np.ndarray]) -> None:
+        self.width = np.array([len(c) for c in counts], np.int64)
+        self.row, self.table = {}, {}
+        for w in np.unique(self.width).tolist():
+            wide = np.flatnonzero(self.width >= w)
+            self.row[w] = np.full(len(counts), -1)
+            self.row[w][wide] = np.arange(len(wide))
+            self.table[w] = np.stack([folded(counts[i], w) for i in wide])
+
+    def __call__(self, i: int, others: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(others), np.int64)
+        shared = np.minimum(self.width[others], self.width[i])
+        for w in np.unique(shared).tolist():
+            at, row, table = shared == w, self.row[w], self.table[w]
+            out[at] = np.minimum(table[row[others[at]]], table[row[i]]).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def _texts(df: DataFrame, keep: list[str], fn, schema: str) -> DataFrame:
@@ -369,21 +404,38 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a))
 
 
-def points(docs: DataFrame, wanted: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
-    """(block, node, n, counts, hashes) of the wanted nodes: (doc_id, node, block), one document each."""
+def _of_nodes(docs: DataFrame, wanted: DataFrame, fn, names: list[str], schema: str, rule: Rule) -> DataFrame:
+    """The columns of ``wanted`` (doc_id, node, ...) but doc_id, and what ``fn`` makes of each node's set; a row for each node.
+
+    The set is made in the task that reads the text, and only what ``fn`` returns moves.  An id that has several texts is read for
+    each of them, so the text has to give the node.
+    """
+    rest = [c for c in wanted.columns if c not in ("doc_id", "node")]
 
     def make(batch: pa.RecordBatch, state: dict) -> Iterator[pa.RecordBatch]:
-        each = [shingles(t, rule.words) for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0), batch.column(1), pa.array([len(h) for h in each], pa.int64()),
-                pa.array([group_counts(h).tobytes() for h in each], pa.binary()), pa.array([h.tobytes() for h in each], pa.binary()),
-            ],
-            names=["block", "node", "n", "counts", "hashes"],
-        )
+        node = batch.column(0).to_pylist()
+        each = [shingles(t, rule.words) for t in batch.column(batch.num_columns - 1).to_pylist()]
+        same = [k for k, h in enumerate(each) if node_of(h) == node[k]]
+        kept = batch.take(pa.array(same, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*kept.columns[:-1], *fn([each[k] for k in same])], names=["node", *rest, *names])
+
+    found = docs.select(F.col("doc_id").alias("id"), "body").join(wanted, F.col("id") == F.col("doc_id"))
+    kinds = ", ".join(f"{c} {wanted.schema[c].dataType.simpleString()}" for c in ["node", *rest])
+    return _texts(found, ["node", *rest], make, f"{kinds}, {schema}").dropDuplicates(["node"])
+
+
+def points(docs: DataFrame, wanted: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
+    """(node, block, n, counts) of the wanted nodes: (doc_id, node, block), one document each."""
 
-    found = docs.select(F.col("doc_id").alias("id"), "body").join(wanted, F.col("id") == F.col("doc_id")).dropDuplicates(["node"])
-    return _texts(found, ["block", "node"], make, "block bigint, node bigint, n bigint, counts binary, hashes binary")
+    def counted(each: list[np.ndarray]) -> list[pa.Array]:
+        return [pa.array([len(h) for h in each], pa.int64()), pa.array([fine_counts(h).tobytes() for h in each], pa.binary())]
+
+    return _of_nodes(docs, wanted, counted, ["n", "counts"], "n bigint, counts binary", rule)
+
+
+def node_sets(docs: DataFrame, wanted: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
+    """(node, hashes) of the wanted nodes: (doc_id, node), one document each."""
+    return _of_nodes(docs, wanted, lambda each: [pa.array([h.tobytes() for h in each], pa.binary())], ["hashes"], "hashes binary", rule)
 
 
 def leaves(nodes: DataFrame) -> DataFrame:
@@ -404,7 +456,7 @@ def leaf_pairs(packed: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
 
     def bounding_box(t: pa.Table) -> pa.Table:
         n = t.column("n").to_numpy()
-        top = np.max([np.frombuffer(x, np.uint32) for x in t.column("counts").to_pylist()], axis=0)
+        top = np.max([folded(np.frombuffer(x, np.uint32), GROUPS) for x in t.column("counts").to_pylist()], axis=0)
         row = {"block": t.column("block")[:1], "leaf": t.column("leaf")[:1], "least": [int(n.min())], "most": [int(n.max())]}
         return pa.table(row | {"top": pa.array([top.tolist()], pa.list_(pa.int32()))})
 
@@ -434,14 +486,14 @@ def met_nodes(packed: DataFrame, pairs: DataFrame, rule: Rule = CONTRACT) -> Dat
         order = np.lexsort((batch.column("node").to_numpy(), batch.column("side").to_numpy()))
         t = batch.take(pa.array(order))
         side, n = t.column("side").to_numpy(), t.column("n").to_numpy()
-        counts = np.stack([np.frombuffer(x, np.uint32) for x in t.column("counts").to_pylist()])
+        bound = Bounds([np.frombuffer(x, np.uint32) for x in t.column("counts").to_pylist()])
         first, second = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
         met = np.zeros(len(n), bool)
         for i in first:
             others = second if len(second) else first[first > i]
             need = needed_overlap(n[others] + n[i], rule)
             others, need = (x[need <= np.minimum(n[others], n[i])] for x in (others, need))
-            near = others[np.minimum(counts[others], counts[i]).sum(axis=1, dtype=np.int64) >= need]
+            near = others[bound(i, others) >= need]
             met[near] = True
             met[i] |= len(near) > 0
         return t.select(["node", "pair", "side"]).filter(pa.array(met))
@@ -450,8 +502,11 @@ def met_nodes(packed: DataFrame, pairs: DataFrame, rule: Rule = CONTRACT) -> Dat
     return rows.groupBy("pair").applyInArrow(bounded, "node bigint, pair bigint, side int")
 
 
-def leaf_links(packed: DataFrame, pairs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
-    """(a, b): links that span the linked nodes of each pair of leaves."""
+def leaf_links(packed: DataFrame, pairs: DataFrame, rule: Rule = CONTRACT, sets_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(a, b): links that span the linked nodes of each pair of leaves.
+
+    ``sets_of`` makes (node, hashes) for a table of nodes; without it the packed nodes have their hashes.
+    """
 
     def join_leaves(batch: pa.Table) -> pa.Table:
         order = np.lexsort((batch.column("node").to_numpy(), batch.column("side").to_numpy()))
@@ -464,7 +519,8 @@ def leaf_links(packed: DataFrame, pairs: DataFrame, rule: Rule = CONTRACT) -> Da
         return pa.table({"a": pa.array([int(node[i]) for i, _ in found], pa.int64()), "b": pa.array([int(node[j]) for _, j in found], pa.int64())})
 
     met = written(met_nodes(packed, pairs, rule), "jaccard-met")
-    return packed.select("node", "hashes").join(met, "node").select("pair", "side", "node", "hashes").groupBy("pair").applyInArrow(join_leaves, "a bigint, b bigint")
+    sets = sets_of(met.select("node").distinct()) if sets_of else packed.select("node", "hashes")
+    return sets.join(met, "node").select("pair", "side", "node", "hashes").groupBy("pair").applyInArrow(join_leaves, "a bigint, b bigint")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = CONTRACT) -> DataFrame:
@@ -476,7 +532,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     blocks = components(cell_stars(cells(source, rule)), "jaccard-blocks")
     wanted = first.join(blocks, "node").select("doc_id", "node", F.col("root").alias("block"))
     packed = written(leaves(written(points(source, wanted, rule), "jaccard-points")), "jaccard-leaves")
-    links = leaf_links(packed, leaf_pairs(packed, rule), rule)
+    of_nodes = lambda nodes: node_sets(source, first.join(nodes, "node").select("doc_id", "node"), rule)
+    links = leaf_links(packed, leaf_pairs(packed, rule), rule, of_nodes)
 
     # Components over nodes; the smallest id of a component's documents names it.
     roots = components(links, "jaccard-links")
@@ -491,8 +548,15 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Rows without an id stay.
     """
-    gone_id, text_hash, copy = fresh(docs, "gone_id"), fresh(docs, "text_hash"), fresh(docs, "copy_number")
+    gone_id, copy = fresh(docs, "gone_id"), fresh(docs, "copy_number")
     gone = jaccard_components(docs, id_col, text_col, rule).filter("component_id <> doc_id").select(F.col("doc_id").alias(gone_id)).distinct()
-    kept = docs.join(gone, F.col(id_col) == F.col(gone_id), "left_anti").withColumn(text_hash, F.xxhash64(text_col))
-    number = F.row_number().over(W.partitionBy(id_col, text_hash).orderBy(F.lit(1)))
-    return kept.withColumn(copy, number).filter(F.col(copy) == 1).drop(copy, text_hash)
+    kept = docs.join(gone, F.col(id_col) == F.col(gone_id), "left_anti")
+
+    # Ids and hashes tell which rows are there more than once; texts move for those alone.
+    same_id, same_text = fresh(docs, "same_id"), fresh(docs, "same_text")
+    keys = kept.select(F.col(id_col).alias(same_id), F.xxhash64(text_col).alias(same_text)).groupBy(same_id, same_text)
+    repeated = written(keys.agg(F.count(F.lit(1)).alias(copy)).filter(F.col(copy) > 1).drop(copy), "jaccard-repeated")
+    match = F.col(id_col).eqNullSafe(F.col(same_id)) & (F.xxhash64(text_col) == F.col(same_text))
+    number = F.row_number().over(W.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(1)))
+    one = kept.join(repeated, match, "left_semi").withColumn(copy, number).filter(F.col(copy) == 1).drop(copy)
+    return kept.join(repeated, match, "left_anti").union(one)

@@ -552,9 +552,9 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     gone = jaccard_components(docs, id_col, text_col, rule).filter("component_id <> doc_id").select(F.col("doc_id").alias(gone_id)).distinct()
     kept = docs.join(gone, F.col(id_col) == F.col(gone_id), "left_anti")
 
-    # Ids and hashes tell which rows are there more than once; texts move for those alone.
+    # Ids and hashes tell which rows are there more than once; texts move for those alone.  Rows of one id go or stay together.
     same_id, same_text = fresh(docs, "same_id"), fresh(docs, "same_text")
-    keys = kept.select(F.col(id_col).alias(same_id), F.xxhash64(text_col).alias(same_text)).groupBy(same_id, same_text)
+    keys = docs.select(F.col(id_col).alias(same_id), F.xxhash64(text_col).alias(same_text)).groupBy(same_id, same_text)
     repeated = written(keys.agg(F.count(F.lit(1)).alias(copy)).filter(F.col(copy) > 1).drop(copy), "jaccard-repeated")
     match = F.col(id_col).eqNullSafe(F.col(same_id)) & (F.xxhash64(text_col) == F.col(same_text))
     number = F.row_number().over(W.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(1)))

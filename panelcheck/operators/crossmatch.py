@@ -86,11 +86,14 @@ def suspects(fields: DataFrame, images: DataFrame, compare: str = "text", groups
     """
     if groups is None:
         groups = compared_groups(fields, compare)
-    groups = groups.filter(F.coalesce("may_conflict", F.lit(False))).select(*GROUP)
+    # one row an inspection: fields dealt by their inspection need no exchange, which a join by both columns would ask for
+    differing = groups.filter(F.coalesce("may_conflict", F.lit(False))).groupBy("inspection_id").agg(F.collect_set("field_type").alias("_differing"))
     roles = images.select(F.col("id").alias("source_image_id"), "image_role")
     return (
         _comparable(fields, compare)
-        .join(groups, GROUP, "left_semi")
+        .join(differing, "inspection_id")
+        .filter(F.array_contains("_differing", F.col("field_type")))
+        .drop("_differing")
         .join(roles, "source_image_id", "left")
         .withColumn("image_role", F.coalesce("image_role", F.lit("unknown")))
     )

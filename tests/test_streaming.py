@@ -227,3 +227,19 @@ def test_sustained_runs_cross_midnight_and_larger_borders(spark):
     plain = sorted(tuple(r) for r in MO.sustained(df.filter("name = 'a'"), 3).select(at("started_at"), at("ended_at")).collect())
     keyed = sorted(tuple(r) for r in MO.sustained(df, 3, ["name"]).select("name", at("started_at"), at("ended_at")).collect())
     assert plain == want and keyed == [(k, *w) for k in "ab" for w in want]
+
+
+def test_sync_target_keeps_what_devices_send_compressed(spark, folder, place, monkeypatch):
+    """Both times are sent whole, in two batches, and no file holds plain text: that took most of the disk."""
+    import glob
+
+    from __spark_entry__ import queries
+    from panelcheck.sources import files as FI
+
+    monkeypatch.setattr(FI, "new_folder", lambda spark, name: f"{place}/{name}")
+    rows = queries()["t1_sync_target"](spark, folder)
+    files = glob.glob(f"{place}/sync/in/part-*")
+    assert files and all(x.endswith(".json.gz") for x in files)
+    sent, results = spark.read.json(f"{place}/sync/in"), spark.read.parquet(f"{place}/sync/out/results")
+    assert sent.count() == results.count() > 0 and results.select("batch_id").distinct().count() == 2
+    assert rows.count() == sent.select("officer_id", "client_id").distinct().count()

@@ -243,3 +243,28 @@ def test_sync_target_keeps_what_devices_send_compressed(spark, folder, place, mo
     sent, results = spark.read.json(f"{place}/sync/in"), spark.read.parquet(f"{place}/sync/out/results")
     assert sent.count() == results.count() > 0 and results.select("batch_id").distinct().count() == 2
     assert rows.count() == sent.select("officer_id", "client_id").distinct().count()
+
+
+def test_summary_state_is_kept_by_slot(spark, place, monkeypatch):
+    """Fifty inspections in three states, not fifty: a call for each of them took nearly all of the time.  A null id is an inspection too."""
+    from panelcheck.streaming import summary as SU
+
+    monkeypatch.setattr(SU, "SLOTS", 3, raising=False)
+    row = lambda e, seq, status, officer="o1": (e, "inspection", seq, officer, status, False, None, 1)
+    bad = lambda e, severity, sign=1: (e, "violation", 0, None, None, None, severity, sign)
+    ids = [None, 'é"\n', *(f"i{k}" for k in range(48))]
+    steps = [
+        [bad("i1", "critical"), *(row(e, 1, "draft") for e in ids), ("audit-1", "audit", 0, None, None, None, None, 1)],
+        [row(None, 2, "completed", None), row("i1", 2, "completed", "o2"), row("i2", 0, "completed"), bad("i2", "minor"), row("i3", 2, "completed"), bad(None, "major")],
+        [bad("i1", "critical", -1)],
+    ]
+    rows = []
+    for changes in steps:
+        spark.createDataFrame(changes, SU.CHANGES).coalesce(1).write.mode("append").parquet(f"{place}/in")
+        stream = spark.readStream.schema(SU.CHANGES).parquet(f"{place}/in")
+        q = SU.incremental_summary(stream, place, lambda df, batch: rows.append(df.first()), interval=None)
+        q.awaitTermination(240)
+        assert q.exception() is None
+    of = lambda r: (r.total_inspections, r.draft_inspections, r.compliant_inspections, r.violation_inspections, r.total_violations, r.critical_violations, r.active_officers_count, r.total_audit_overrides)
+    assert [of(r) for r in rows] == [(50, 50, 0, 0, 1, 1, 1, 1), (50, 47, 1, 2, 3, 1, 2, 1), (50, 47, 2, 1, 2, 0, 2, 1)]
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
